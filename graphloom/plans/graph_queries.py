@@ -302,7 +302,7 @@ PAIR_SQL = """WITH pairs AS (
     "degree_correlation_matrix",
     with_views(
         f"""{PAIR_SQL} SELECT graph_id, k1, k2,
-              {rd('count(*) / sum(count(*)) OVER (PARTITION BY graph_id)')} AS p FROM pairs GROUP BY ALL""",
+              {rd('count(*) / sum(count(*)) OVER (PARTITION BY graph_id)')} AS p FROM pairs GROUP BY graph_id, k1, k2""",
         "both_ways",
         "degrees",
     ),
@@ -492,7 +492,7 @@ def _(spark, sf):
               SELECT graph_id, cs AS c, weight FROM w UNION ALL SELECT graph_id, cd, weight FROM w) GROUP BY ALL),
             ins AS (SELECT graph_id, cs AS c, 2 * sum(weight) AS i FROM w WHERE cs = cd GROUP BY ALL),
             m AS (SELECT graph_id, sum(t) AS m2 FROM tot GROUP BY ALL)
-            SELECT graph_id, {rd('sum(coalesce(i, 0) / m2 - (t / m2) * (t / m2))')} AS modularity
+            SELECT graph_id, {rd('sum(coalesce(i, 0) / m2 - (t / m2) * (t / m2))', 9)} AS modularity
             FROM tot JOIN m USING (graph_id) LEFT JOIN ins USING (graph_id, c) GROUP BY graph_id""",
         "weighted_edges",
         "degrees",
@@ -501,7 +501,7 @@ def _(spark, sf):
 def _(spark, sf):
     edges = weighted_edges(spark, sf)
     part = tb.degree(edges).select("graph_id", "node", F.pmod("node", F.lit(4)).alias("community"))
-    return st.modularity(edges, part).withColumn("modularity", r("modularity"))
+    return st.modularity(edges, part).withColumn("modularity", r("modularity", 9))
 
 
 @query(

@@ -1 +1,514 @@
-"""Registered queries."""
+"""Queries for histograms, scaling, curves, bootstrap and scalar functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scalars as sc
+from ..operators import curves as cv
+from ..operators import histogram as hg
+from ..operators import scaling as sl
+from .graph_queries import weighted_edges
+from .inputs import curves, r, rd, table, with_views
+from .registry import query
+
+
+def events(spark, sf):
+    return table(spark, sf, "events")
+
+
+def lineitem(spark, sf):
+    return table(spark, sf, "lineitem")
+
+
+HIST_SQL = """WITH v AS ({values}),
+    lims AS (SELECT k, min(v) AS lo, max(v) AS hi FROM v GROUP BY ALL),
+    cnt AS (SELECT k, CAST(least(floor((v - lo) / (hi - lo) * {bins} + 1e-9), {last}) AS BIGINT) AS bin, count(*) AS n
+      FROM v JOIN lims USING (k) GROUP BY ALL),
+    grid AS (SELECT k, lo, hi, UNNEST(range({bins})) AS bin FROM lims),
+    h AS (SELECT g.k, CAST(bin AS BIGINT) AS bin, lo + bin * (hi - lo) / {bins} AS left_edge,
+      lo + (bin + 1) * (hi - lo) / {bins} AS right_edge, coalesce(n, 0) AS n,
+      coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY g.k) AS pdf,
+      sum(coalesce(n, 0)) OVER (PARTITION BY g.k ORDER BY bin) / sum(coalesce(n, 0)) OVER (PARTITION BY g.k) AS cdf
+      FROM grid g LEFT JOIN cnt USING (k, bin))"""
+
+
+@query(
+    "empirical_pdf_cdf",
+    HIST_SQL.format(values="SELECT event_type AS k, value AS v FROM events", bins=100, last=99)
+    + f""" SELECT k AS event_type, bin, {rd('left_edge')} AS left_edge, {rd('right_edge')} AS right_edge, n, {rd('pdf')} AS pdf,
+          {rd('cdf - pdf')} AS cdf_left, {rd('cdf')} AS cdf FROM h""",
+)
+def _(spark, sf):
+    h = hg.empirical_pdf_cdf(events(spark, sf), "value", 100, "event_type")
+    return h.select(
+        "event_type", "bin", "n", *[r(c).alias(c) for c in ("left_edge", "right_edge", "pdf", "cdf_left", "cdf")]
+    )
+
+
+SEGMENTS = "SELECT c_mktsegment AS k, c_acctbal AS v FROM customer"
+
+
+@query(
+    "histogram_compare",
+    f"""WITH v AS ({SEGMENTS}), lims AS (SELECT min(v) - 3 AS lo, max(v) AS hi FROM v),
+        cnt AS (SELECT k, CAST(least(floor((v - lo) / (hi - lo) * 5), 4) AS BIGINT) AS bin, count(*) AS n FROM v, lims GROUP BY ALL),
+        grid AS (SELECT k, UNNEST(range(5)) AS bin FROM (SELECT DISTINCT k FROM v))
+        SELECT k AS segment, CAST(bin AS BIGINT) AS bin, coalesce(n, 0) AS n,
+          {rd('coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY k)')} AS pdf
+        FROM grid LEFT JOIN cnt USING (k, bin)""",
+)
+def _(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("segment"), "c_acctbal")
+    hist, _moments = hg.histogram_compare(c, "c_acctbal", 6, "segment")
+    return hist.select("segment", "bin", "n", r("pdf").alias("pdf"))
+
+
+@query(
+    "histogram_moments",
+    f"SELECT k AS segment, {rd('avg(v)')} AS mean, {rd('stddev_pop(v)')} AS std FROM ({SEGMENTS}) GROUP BY ALL",
+)
+def _(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("segment"), "c_acctbal")
+    _hist, moments = hg.histogram_compare(c, "c_acctbal", 6, "segment")
+    return moments.select("segment", r("mean").alias("mean"), r("std").alias("std"))
+
+
+@query(
+    "chi2_distance",
+    HIST_SQL.format(values="SELECT event_type AS k, value AS v FROM events", bins=20, last=19)
+    + f""", p AS (SELECT a.k AS a, b.k AS b, a.pdf + 2.220446049250313e-16 AS p, b.pdf + 2.220446049250313e-16 AS q
+           FROM h a JOIN h b USING (bin) WHERE a.k < b.k)
+         SELECT a, b, {rd('0.5 * sum((p - q) * (p - q) / (p + q))')} AS chi2 FROM p GROUP BY ALL""",
+)
+def _(spark, sf):
+    h = hg.empirical_pdf_cdf(events(spark, sf), "value", 20, "event_type")
+    per = h.groupBy("event_type").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("bin", "pdf"))), lambda s: s["pdf"]).alias("pdf")
+    )
+    a = per.select(F.col("event_type").alias("a"), F.col("pdf").alias("p"))
+    b = per.select(F.col("event_type").alias("b"), F.col("pdf").alias("q"))
+    # one row per event type on each side
+    return a.join(b, F.col("a") < F.col("b")).select(
+        "a", "b", F.round(sc.chi2_distance(F.col("p"), F.col("q")), 6).alias("chi2")
+    )
+
+
+SCALE_WINDOW = "FROM events WINDOW g AS (PARTITION BY user_id)"
+
+
+@query(
+    "minmax_scale",
+    f"""SELECT event_id, {rd('(value - (max(value) OVER g + min(value) OVER g) / 2) / (max(value) OVER g - min(value) OVER g) * 2')} AS value
+        {SCALE_WINDOW}""",
+)
+def _(spark, sf):
+    out = sl.minmax_scale(events(spark, sf), "value", -1, 1, "user_id")
+    return out.select("event_id", r("value").alias("value"))
+
+
+@query("sum_normalize", f"SELECT event_id, {rd('value / sum(value) OVER g')} AS value {SCALE_WINDOW}")
+def _(spark, sf):
+    out = sl.sum_normalize(events(spark, sf), "value", "user_id")
+    return out.select("event_id", r("value").alias("value"))
+
+
+@query(
+    "standardize",
+    f"""SELECT event_id, {rd('(value - avg(value) OVER g) / stddev_pop(value) OVER g', 5)} AS value,
+        {rd('(event_id - avg(event_id) OVER g) / stddev_pop(event_id) OVER g', 5)} AS position {SCALE_WINDOW}""",
+)
+def _(spark, sf):
+    e = events(spark, sf).select("event_id", "user_id", "value", F.col("event_id").cast("double").alias("position"))
+    out = sl.standardize(e, ["value", "position"], "user_id")
+    return out.select("event_id", r("value", 5).alias("value"), r("position", 5).alias("position"))
+
+
+@query(
+    "softmax",
+    f"""WITH e AS (SELECT event_id, user_id, exp(value - max(value) OVER (PARTITION BY user_id)) AS e FROM events)
+        SELECT event_id, {rd('e / sum(e) OVER (PARTITION BY user_id)')} AS value FROM e""",
+)
+def _(spark, sf):
+    out = sl.softmax(events(spark, sf), "value", "user_id")
+    return out.select("event_id", r("value").alias("value"))
+
+
+@query(
+    "exact_percentiles",
+    f"""SELECT l_returnflag, share, {rd('value')} AS value FROM (
+          SELECT l_returnflag, UNNEST([0.02, 0.5, 0.99]) AS share,
+            UNNEST(quantile_cont(l_extendedprice, [0.02, 0.5, 0.99])) AS value FROM lineitem GROUP BY l_returnflag)""".replace(
+        "share, (", "CAST(share AS DOUBLE) AS share, ("
+    ),
+)
+def _(spark, sf):
+    out = sl.exact_percentiles(lineitem(spark, sf), "l_extendedprice", [0.02, 0.5, 0.99], "l_returnflag")
+    return out.withColumn("value", r("value"))
+
+
+@query(
+    "percentile_stretch",
+    f"""WITH p AS (SELECT event_type, quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.99) AS hi FROM events GROUP BY ALL)
+        SELECT event_id, {rd('(greatest(least(value, hi), lo) - lo) / (hi - lo)')} AS value FROM events JOIN p USING (event_type)""",
+)
+def _(spark, sf):
+    out = sl.percentile_stretch(events(spark, sf), "value", 2, 99, "event_type")
+    return out.select("event_id", r("value").alias("value"))
+
+
+@query(
+    "to_uint8",
+    f"""SELECT event_id, 255 - CAST(trunc((value - min(value) OVER g) / (max(value) OVER g - min(value) OVER g) * CAST(255.9 AS DOUBLE)) AS INTEGER) AS value
+        {SCALE_WINDOW}""",
+)
+def _(spark, sf):
+    return sl.to_uint8(events(spark, sf), "value", "user_id").select("event_id", "value")
+
+
+@query(
+    "order_of_magnitude_range",
+    """SELECT event_type, min(CAST(trunc(log10(abs(value))) AS INTEGER)) AS min_order,
+         max(CAST(trunc(log10(abs(value))) AS INTEGER)) AS max_order FROM events WHERE value <> 0 GROUP BY ALL""",
+)
+def _(spark, sf):
+    return sl.order_of_magnitude_range(events(spark, sf), "value", "event_type")
+
+
+@query(
+    "round_half_away",
+    """SELECT l_orderkey, l_partkey, l_linenumber, CAST(sign(x) * floor(abs(x) + 0.5) AS BIGINT) AS n FROM (
+         SELECT *, (l_quantity - 25) / 2 AS x FROM lineitem)""",
+)
+def _(spark, sf):
+    x = (F.col("l_quantity") - 25) / 2
+    return lineitem(spark, sf).select("l_orderkey", "l_partkey", "l_linenumber", sc.round_half_away(x).alias("n"))
+
+
+@query(
+    "moving_average",
+    f"""WITH c AS (SELECT user_id AS k, CAST(event_id % 24 AS BIGINT) AS h, sum(value) AS v FROM events GROUP BY ALL),
+        s AS (SELECT k, h + UNNEST([-2, -1, 0, 1, 2]) AS h, v FROM c)
+        SELECT k AS user_id, CAST((h + 24) % 24 AS BIGINT) AS hour, {rd('sum(v) / 5')} AS value FROM s GROUP BY ALL""",
+)
+def _(spark, sf):
+    per_hour = (
+        events(spark, sf)
+        .groupBy("user_id", F.pmod("event_id", F.lit(24)).alias("hour"))
+        .agg(F.sum("value").alias("value"))
+    )
+    return sl.moving_average(per_hour, "value", "hour", 5, "user_id", 24).withColumn("value", r("value"))
+
+
+@query(
+    "moving_average_open",
+    f"""WITH c AS (SELECT event_type AS k, CAST(event_id % 24 AS BIGINT) AS h, sum(value) AS v FROM events GROUP BY ALL),
+        s AS (SELECT k, h, sum(v) OVER (PARTITION BY k ORDER BY h ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 AS v FROM c)
+        SELECT k AS event_type, h AS hour, {rd('v')} AS value FROM s WHERE h BETWEEN 1 AND 22""",
+)
+def _(spark, sf):
+    per_hour = (
+        events(spark, sf)
+        .groupBy("event_type", F.pmod("event_id", F.lit(24)).alias("hour"))
+        .agg(F.sum("value").alias("value"))
+    )
+    return sl.moving_average(per_hour, "value", "hour", 3, "event_type", 24, circular=False).withColumn(
+        "value", r("value")
+    )
+
+
+@query(
+    "smooth_array",
+    f"""WITH a AS (SELECT vec_id, label, UNNEST(embedding) AS v, UNNEST(range(64)) AS i FROM embeddings),
+        s AS (SELECT vec_id, (i + UNNEST([-1, 0, 1]) + 64) % 64 AS i, v FROM a)
+        SELECT vec_id, CAST(i AS INTEGER) AS i, {rd('sum(CAST(v AS DOUBLE)) / 3')} AS v FROM s GROUP BY ALL""",
+)
+def _(spark, sf):
+    arr = F.transform("embedding", lambda v: v.cast("double"))
+    e = table(spark, sf, "embeddings").select("vec_id", sc.moving_average_array(arr, 3).alias("a"))
+    return e.select("vec_id", F.posexplode("a").alias("i", "v")).withColumn("v", r("v"))
+
+
+@query("reduce_spikes")
+def _(spark, sf):
+    h = hg.empirical_pdf_cdf(events(spark, sf), "value", 60, "user_id")
+    per = h.groupBy("user_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("bin", "pdf"))), lambda s: s["pdf"]).alias("pdf")
+    )
+    return per.withColumn("pdf", sc.reduce_spikes(F.col("pdf")))
+
+
+@query(
+    "distances",
+    with_views(
+        f"""SELECT e.graph_id, src, dst, {rd('sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2)')} AS euclid,
+              greatest(abs(b.x - a.x), abs(b.y - a.y)) AS chebyshev, abs(b.x - a.x) + abs(b.y - a.y) AS cityblock,
+              {rd('degrees(atan2(b.y - a.y, b.x - a.x))')} AS angle
+            FROM point_edges e JOIN points a ON a.node_id = src JOIN points b ON b.node_id = dst""",
+        "points",
+        "point_edges",
+    ),
+)
+def _(spark, sf):
+    from ..operators.tables import attach_node_attrs
+    from .inputs import point_edges, points
+
+    nodes = points(spark, sf).select("graph_id", F.col("node_id").alias("node"), "x", "y")
+    e = attach_node_attrs(point_edges(spark, sf), nodes, ["x", "y"])
+    ends = [F.col(c) for c in ("src_x", "src_y", "dst_x", "dst_y")]
+    return e.select(
+        "graph_id",
+        "src",
+        "dst",
+        F.round(sc.euclid(*ends), 6).alias("euclid"),
+        sc.chebyshev(*ends).alias("chebyshev"),
+        sc.cityblock(*ends).alias("cityblock"),
+        (F.round(sc.angle_to(*ends), 6) + F.lit(0.0)).alias("angle"),
+    )
+
+
+@query(
+    "angle_deg",
+    f"""SELECT event_id, {rd('degrees(atan2(y, x)) + 180')} AS angle FROM (
+          SELECT event_id, event_id % 7 - 3.0 AS x, value - 20 AS y FROM events) WHERE abs(x) > 1e-10 OR abs(y) > 1e-10""",
+)
+def _(spark, sf):
+    e = events(spark, sf).select(
+        "event_id", (F.pmod("event_id", F.lit(7)) - 3.0).alias("x"), (F.col("value") - 20).alias("y")
+    )
+    out = e.withColumn("angle", sc.angle_deg(F.col("x"), F.col("y"))).where("angle is not null")
+    return out.select("event_id", r("angle").alias("angle"))
+
+
+@query(
+    "segment_end",
+    f"""SELECT event_id, {rd('x + value * cos(radians(a))')} AS end_x, {rd('y + value * sin(radians(a))')} AS end_y FROM (
+          SELECT event_id, value, event_id % 128 AS x, user_id % 128 AS y, (event_id * 37 - 4000) % 360 + CASE WHEN (event_id * 37 - 4000) % 360 < 0 THEN 360 ELSE 0 END AS a FROM events)""",
+)
+def _(spark, sf):
+    e = events(spark, sf)
+    angle = sc.wrap_degrees(F.col("event_id") * 37 - 4000)
+    x, y = sc.segment_end(F.pmod("event_id", F.lit(128)), F.pmod("user_id", F.lit(128)), angle, F.col("value"))
+    return e.select("event_id", F.round(x, 6).alias("end_x"), F.round(y, 6).alias("end_y"))
+
+
+@query(
+    "edge_weight_from_mass",
+    f"""SELECT event_id, {rd('-1 / ln(p) - 1 / ln(1 - p)')} AS weight, {rd('ln(p + 2 * p)')} AS old_weight FROM (
+          SELECT event_id, (event_id % 97 + 1) / 100.0 AS p FROM events)""",
+)
+def _(spark, sf):
+    p = (F.pmod("event_id", F.lit(97)) + 1) / 100.0
+    both = sc.edge_weight_from_mass(p) + sc.edge_weight_from_mass(1 - p)
+    return events(spark, sf).select(
+        "event_id", F.round(both, 6).alias("weight"), F.round(sc.edge_weight_from_two_masses(p, 2 * p), 6).alias("old_weight")
+    )
+
+
+@query(
+    "explode_nested",
+    "SELECT label, count(*) AS n, "
+    + rd("sum(CAST(v AS DOUBLE))", 4)
+    + " AS total FROM (SELECT label, UNNEST(embedding) AS v FROM embeddings) GROUP BY ALL",
+)
+def _(spark, sf):
+    e = table(spark, sf, "embeddings")
+    halves = F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))
+    flat = e.select("label", F.explode(F.flatten(halves)).alias("v"))
+    return flat.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("v").cast("double")), 4).alias("total")
+    )
+
+
+@query(
+    "ensemble_mean_curve",
+    with_views(
+        f"""SELECT curve_id % 5 AS corpus, beta_idx, {rd('avg(s)')} AS mean_s, {rd('stddev_pop(s)')} AS std_s, count(*) AS n_curves
+            FROM curves GROUP BY ALL""",
+        "curves",
+    ),
+)
+def _(spark, sf):
+    c = curves(spark, sf).withColumn("corpus", F.pmod("curve_id", F.lit(5)))
+    return cv.ensemble_mean_curve(c, "corpus").select(
+        "corpus", "beta_idx", r("mean_s").alias("mean_s"), r("std_s").alias("std_s"), "n_curves"
+    )
+
+
+@query(
+    "curve_sse",
+    with_views(
+        f"""WITH m AS (SELECT beta_idx, avg(s) AS b FROM curves GROUP BY ALL),
+            d AS (SELECT curve_id, sum((s - b) * (s - b)) AS sse FROM curves JOIN m USING (beta_idx) GROUP BY ALL)
+            SELECT curve_id, {rd('sse', 5)} AS sse, {rd('1.0 / sse')} AS fitness FROM d""",
+        "curves",
+    ),
+)
+def _(spark, sf):
+    c = curves(spark, sf)
+    mean = c.groupBy("beta_idx").agg(F.avg("s").alias("s"))
+    paired = c.select("curve_id", "beta_idx", F.col("s").alias("a")).join(
+        mean.select("beta_idx", F.col("s").alias("b")), "beta_idx"
+    )
+    return cv.curve_sse(paired, "curve_id").select("curve_id", r("sse", 5).alias("sse"), r("fitness").alias("fitness"))
+
+
+@query(
+    "pair_curves",
+    with_views(
+        f"""SELECT a.curve_id, beta_idx, {rd('a.s')} AS a, {rd('b.s')} AS b FROM curves a JOIN curves b USING (beta_idx)
+            WHERE a.curve_id % 2 = 0 AND b.curve_id = a.curve_id + 1""",
+        "curves",
+    ),
+)
+def _(spark, sf):
+    c = curves(spark, sf)
+    a = c.where("curve_id % 2 = 0")
+    b = c.where("curve_id % 2 = 1").withColumn("curve_id", F.col("curve_id") - 1)
+    return cv.pair_curves(a, b, ["curve_id", "beta_idx"]).select(
+        "curve_id", "beta_idx", r("a").alias("a"), r("b").alias("b")
+    )
+
+
+@query(
+    "curve_functional",
+    with_views(f"SELECT curve_id, {rd('sum(s)')} AS x FROM curves GROUP BY ALL", "curves"),
+)
+def _(spark, sf):
+    return cv.curve_functional(curves(spark, sf), "curve_id").withColumn("x", r("x"))
+
+
+@query(
+    "ensemble_fitness_summary",
+    with_views(
+        f"""WITH m AS (SELECT beta_idx, avg(s) AS b FROM curves GROUP BY ALL),
+            e AS (SELECT curve_id % 10 AS ensemble, beta_idx, avg(s) AS a FROM curves GROUP BY ALL),
+            f AS (SELECT ensemble, 1.0 / sum((a - b) * (a - b)) AS fitness FROM e JOIN m USING (beta_idx) GROUP BY ALL)
+            SELECT {rd('max(fitness)')} AS max_fitness, {rd('min(fitness)')} AS min_fitness, {rd('avg(fitness)')} AS mean_fitness,
+              {rd('stddev_pop(fitness)')} AS std_fitness FROM f""",
+        "curves",
+    ),
+)
+def _(spark, sf):
+    c = curves(spark, sf)
+    mean = c.groupBy("beta_idx").agg(F.avg("s").alias("b"))
+    ens = c.groupBy(F.pmod("curve_id", F.lit(10)).alias("ensemble"), "beta_idx").agg(F.avg("s").alias("a"))
+    out = cv.ensemble_fitness_summary(cv.curve_sse(ens.join(mean, "beta_idx"), "ensemble"))
+    return out.select(*[r(k).alias(k) for k in out.columns])
+
+
+@query(
+    "gradient",
+    with_views(
+        f"""WITH g AS (SELECT curve_id, beta_idx, s, lag(s) OVER w AS p, lead(s) OVER w AS q FROM curves
+              WINDOW w AS (PARTITION BY curve_id ORDER BY beta_idx))
+            SELECT curve_id, beta_idx, {rd('CASE WHEN p IS NULL THEN q - s WHEN q IS NULL THEN s - p ELSE (q - p) / 2 END')} AS gradient
+            FROM g WHERE p IS NOT NULL OR q IS NOT NULL""",
+        "curves",
+    ),
+)
+def _(spark, sf):
+    g = cv.gradient(curves(spark, sf), "s", "beta_idx", "curve_id").where("gradient is not null")
+    return g.select("curve_id", "beta_idx", r("gradient").alias("gradient"))
+
+
+@query(
+    "score_candidates",
+    with_views(
+        f"""WITH m AS (SELECT beta_idx, avg(s) AS b FROM curves GROUP BY ALL),
+            e AS (SELECT curve_id % 40 AS candidate_id, beta_idx, avg(s) AS a FROM curves WHERE curve_id % 40 < 30 GROUP BY ALL),
+            f AS (SELECT candidate_id, 1.0 / sum((a - b) * (a - b)) AS fitness FROM e JOIN m USING (beta_idx) GROUP BY ALL)
+            SELECT candidate_id, {rd('coalesce(fitness, 0)')} AS fitness
+            FROM (SELECT DISTINCT curve_id % 40 AS candidate_id FROM curves) LEFT JOIN f USING (candidate_id)""",
+        "curves",
+    ),
+)
+def _(spark, sf):
+    c = curves(spark, sf).withColumn("candidate_id", F.pmod("curve_id", F.lit(40)))
+    reference = c.groupBy("beta_idx").agg(F.avg("s").alias("s"))
+    candidates = c.select("candidate_id")
+    return cv.score_candidates(c.where("candidate_id < 30"), reference, candidates).withColumn("fitness", r("fitness"))
+
+
+@query(
+    "nan_stats",
+    f"""SELECT user_id, {rd("coalesce(avg(v), CAST('nan' AS DOUBLE))")} AS mean, {rd("coalesce(stddev_pop(v), CAST('nan' AS DOUBLE))")} AS std,
+          {rd("coalesce(stddev_pop(v) / sqrt(count(v)), CAST('nan' AS DOUBLE))")} AS sem, count(v) AS n_valid
+        FROM (SELECT user_id, CASE WHEN event_type <> 'error' THEN value END AS v FROM events) GROUP BY ALL""",
+)
+def _(spark, sf):
+    e = events(spark, sf).withColumn(
+        "value", F.when(F.col("event_type") != "error", F.col("value")).otherwise(F.lit(float("nan")))
+    )
+    out = cv.nan_stats(e, "value", "user_id")
+    return out.select("user_id", r("mean").alias("mean"), r("std").alias("std"), r("sem").alias("sem"), "n_valid")
+
+
+@query(
+    "cumulative_offsets",
+    f"""WITH m AS (SELECT event_type, CAST(day(ts) AS INTEGER) AS day, sum(value) AS v FROM events GROUP BY ALL)
+        SELECT event_type, day, {rd('sum(v) OVER (PARTITION BY event_type ORDER BY day)', 4)} AS offset_sum FROM m""",
+)
+def _(spark, sf):
+    m = events(spark, sf).groupBy("event_type", F.dayofmonth("ts").alias("day")).agg(F.sum("value").alias("v"))
+    out = cv.cumulative_offsets(m, "v", "day", "event_type")
+    return out.select("event_type", "day", r("offset", 4).alias("offset_sum"))
+
+
+@query(
+    "prune_edges",
+    with_views(
+        """WITH lims AS (SELECT graph_id, CASE WHEN min(weight) = max(weight) THEN min(weight) - 0.5 ELSE min(weight) END AS lo,
+              CASE WHEN min(weight) = max(weight) THEN max(weight) + 0.5 ELSE max(weight) END AS hi, count(*) AS total
+              FROM weighted_edges GROUP BY ALL),
+            edge AS (SELECT graph_id, total, j, CAST(lo AS DOUBLE) + j * (CAST(hi - lo AS DOUBLE) / 100) AS edge
+              FROM lims, (SELECT UNNEST(range(101)) AS j)),
+            edges_cdf AS (SELECT e.graph_id, j, edge, total,
+                CASE WHEN j = 100 THEN total ELSE count(w.weight) END AS below
+              FROM edge e LEFT JOIN weighted_edges w ON w.graph_id = e.graph_id AND w.weight < e.edge
+              GROUP BY ALL),
+            sh AS (SELECT CAST(UNNEST([1, 2, 3, 4, 5, 6, 7, 8]) AS BIGINT) AS tenth),
+            t AS (SELECT graph_id, tenth, coalesce(max(CASE WHEN below * 10 < tenth * total THEN edge END), 0) AS threshold
+              FROM edges_cdf, sh GROUP BY ALL)
+            SELECT graph_id, tenth, count(*) AS kept, CAST(sum(weight) AS DOUBLE) AS total FROM weighted_edges JOIN t USING (graph_id)
+            WHERE weight > threshold GROUP BY ALL""",
+        "weighted_edges",
+    ),
+)
+def _(spark, sf):
+    kept = hg.prune_edges(weighted_edges(spark, sf), [i / 10 for i in range(1, 9)])
+    return kept.groupBy("graph_id", F.round(F.col("share") * 10).cast("long").alias("tenth")).agg(
+        F.count(F.lit(1)).alias("kept"), F.sum("weight").alias("total")
+    )
+
+
+@query(
+    "rescale_weights",
+    with_views(
+        f"""SELECT graph_id, src, dst, {rd('(weight - (hi + lo) / 2) / (hi - lo) * 0.9999 + 1.0001 / 2', 9)} AS weight FROM (
+              SELECT *, min(weight) OVER g AS lo, max(weight) OVER g AS hi FROM weighted_edges WINDOW g AS (PARTITION BY graph_id))""",
+        "weighted_edges",
+    ),
+)
+def _(spark, sf):
+    return sl.minmax_scale(weighted_edges(spark, sf), "weight", 0.0001, 1.0, "graph_id").withColumn("weight", r("weight", 9))
+
+
+@query("boxcox_rescale")
+def _(spark, sf):
+    return sl.boxcox_rescale(weighted_edges(spark, sf))
+
+
+@query(
+    "path_params",
+    """SELECT d AS path, CAST(regexp_extract(d, '_d([0-9.]+)', 1) AS DOUBLE) AS d,
+         CAST(regexp_extract(d, '_p([0-9.]+)', 1) AS DOUBLE) AS p FROM (
+         SELECT DISTINCT 'net_d' || CAST(l_discount AS VARCHAR) || '_p' || CAST(l_tax AS VARCHAR) AS d FROM lineitem)""",
+)
+def _(spark, sf):
+    from ..sources.paths import path_params
+
+    names = lineitem(spark, sf).select(
+        F.concat(F.lit("net_d"), F.col("l_discount").cast("string"), F.lit("_p"), F.col("l_tax").cast("string")).alias("path")
+    ).distinct()
+    return path_params(names, "path", {"d": r"_d([0-9.]+)", "p": r"_p([0-9.]+)"})
