@@ -54,7 +54,12 @@ def order_of_magnitude(col: Column) -> Column:
 
 
 def edge_weight_from_mass(mass: Column) -> Column:
-    return -1.0 / F.log(mass)
+    """-1 / ln p, with its limits 0 at p = 0 and infinity at p = 1."""
+    return (
+        F.when(mass <= 0, F.lit(0.0))
+        .when(mass >= 1, F.lit(float("inf")))
+        .otherwise(F.try_divide(F.lit(-1.0), F.log(mass)))
+    )
 
 
 def edge_weight_from_two_masses(a: Column, b: Column) -> Column:
@@ -63,11 +68,11 @@ def edge_weight_from_two_masses(a: Column, b: Column) -> Column:
 
 
 def gravity_weight(m1, m2, squared_distance) -> Column:
-    return m1 * m2 / squared_distance
+    return F.try_divide(m1 * m2, squared_distance)
 
 
 def density(n: Column, m: Column) -> Column:
-    return F.when(n > 1, 2.0 * m / (n * (n - 1))).otherwise(F.lit(0.0))
+    return F.when(n > 1, F.try_divide(2.0 * m, n * (n - 1))).otherwise(F.lit(0.0))
 
 
 def sparsity(nonzero: Column, n: Column) -> Column:

@@ -11,16 +11,16 @@ from ..staging import release, stage
 
 
 def minmax_scale(df: DataFrame, col: str, lo: float = -1.0, hi: float = 1.0, key: Key = None, out: str | None = None):
-    """Affine map of each group's range onto [lo, hi]."""
+    """Affine map of each group's range onto [lo, hi]; null where a group has a single value."""
     both = attach_stats(df, key, [F.min(col).alias("_lo"), F.max(col).alias("_hi")])
     a, b = F.col("_lo"), F.col("_hi")
-    scaled = (F.col(col) - (b + a) / 2) / (b - a) * (hi - lo) + (hi + lo) / 2
+    scaled = F.try_divide(F.col(col) - (b + a) / 2, b - a) * (hi - lo) + (hi + lo) / 2
     return both.withColumn(out or col, scaled).drop("_lo", "_hi")
 
 
 def sum_normalize(df: DataFrame, col: str, key: Key = None, out: str | None = None) -> DataFrame:
     both = attach_stats(df, key, [F.sum(col).alias("_t")])
-    return both.withColumn(out or col, F.col(col) / F.col("_t")).drop("_t")
+    return both.withColumn(out or col, F.try_divide(F.col(col), F.col("_t"))).drop("_t")
 
 
 def standardize(df: DataFrame, cols: list[str], key: Key = None) -> DataFrame:
@@ -45,7 +45,8 @@ def softmax(df: DataFrame, col: str, key: Key = None, out: str | None = None) ->
 def to_uint8(df: DataFrame, col: str, key: Key = None, invert: bool = True, out: str | None = None) -> DataFrame:
     """Gray levels from the range of each group: 255.9 times the share, truncated, inverted."""
     both = attach_stats(df, key, [F.min(col).alias("_lo"), F.max(col).alias("_hi")])
-    level = ((F.col(col) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 255.9).cast("int")
+    share = F.try_divide(F.col(col) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    level = (share * 255.9).cast("int")
     return both.withColumn(out or col, (255 - level) if invert else level).drop("_lo", "_hi")
 
 
@@ -120,7 +121,7 @@ def percentile_stretch(df: DataFrame, col: str, low: float, high: float, key: Ke
     wide = limits.groupBy(*by).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     a, b = F.col("_lo"), F.col("_hi")
     clipped = F.greatest(F.least(F.col(col), b), a)
-    return df.join(wide, by).withColumn(col, (clipped - a) / (b - a)).drop("_lo", "_hi")
+    return df.join(wide, by).withColumn(col, F.try_divide(clipped - a, b - a)).drop("_lo", "_hi")
 
 
 def moving_average(

@@ -270,7 +270,7 @@ def add_self_loops(
     by = names(key)
     stats = attach_stats(nodes, key, [F.min(feature).alias("_lo"), F.max(feature).alias("_hi")])
     lo, hi = F.col("_lo"), F.col("_hi")
-    scaled = (F.col(feature) - (hi + lo) / 2) / (hi - lo) * (1 - lo) + (1 + lo) / 2
+    scaled = F.try_divide(F.col(feature) - (hi + lo) / 2, hi - lo) * (1 - lo) + (1 + lo) / 2
     loops = stats.select(*by, F.col("node").alias("src"), F.col("node").alias("dst"), scaled.alias("weight"))
     return edges.select(*by, "src", "dst", "weight").unionByName(loops.where(F.col("weight") > above))
 
@@ -318,7 +318,7 @@ def stationary_distribution(edges: DataFrame, key: Key = GRAPH) -> DataFrame:
     )
     s = once.groupBy(*by, "node").agg(F.sum("weight").alias("_s"))
     return attach_stats(s, key, [F.sum("_s").alias("_total")]).select(
-        *by, "node", (F.col("_s") / F.col("_total")).alias("probability")
+        *by, "node", F.try_divide("_s", "_total").alias("probability")
     )
 
 

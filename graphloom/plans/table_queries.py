@@ -466,7 +466,7 @@ def _(spark, sf):
             edges_cdf AS (SELECT e.graph_id, j, edge, total,
                 CASE WHEN j = 100 THEN total ELSE count(w.weight) END AS below
               FROM edge e LEFT JOIN weighted_edges w ON w.graph_id = e.graph_id AND w.weight < e.edge
-              GROUP BY ALL),
+              GROUP BY e.graph_id, j, edge, total),
             sh AS (SELECT CAST(UNNEST([1, 2, 3, 4, 5, 6, 7, 8]) AS BIGINT) AS tenth),
             t AS (SELECT graph_id, tenth, coalesce(max(CASE WHEN below * 10 < tenth * total THEN edge END), 0) AS threshold
               FROM edges_cdf, sh GROUP BY ALL)
