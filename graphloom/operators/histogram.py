@@ -114,11 +114,15 @@ def histogram_array(df: DataFrame, col: str, lo: float, hi: float, bins: int, ke
 
 
 def chi2_between(a: DataFrame, b: DataFrame, key: Key = None) -> DataFrame:
-    """Half chi-square distance of two long histograms ``(key, bin, pdf)`` on the same bins."""
+    """Half chi-square distance of long histograms ``(key, bin, pdf)`` on the same bins.
+
+    Key columns that ``b`` lacks are matched to all of it, bin by bin.
+    """
     by = names(key)
+    shared = [c for c in by if c in b.columns]
     eps = F.lit(2.220446049250313e-16)
     pair = a.select(*by, "bin", F.col("pdf").alias("p")).join(
-        b.select(*by, "bin", F.col("pdf").alias("q")), [*by, "bin"]
+        b.select(*shared, "bin", F.col("pdf").alias("q")), [*shared, "bin"]
     )
     p, q = F.col("p") + eps, F.col("q") + eps
     return pair.groupBy(*by).agg((0.5 * F.sum((p - q) * (p - q) / (p + q))).alias("chi2"))

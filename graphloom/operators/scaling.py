@@ -87,7 +87,9 @@ def exact_percentiles(
         if load is None or load <= window_rows:
             break
         width = (F.col("_hi") - F.col("_lo")) / buckets
-        slot = F.least(F.floor((F.col("v") - F.col("_lo")) / width), F.lit(buckets - 1))
+        # a hunt that has closed in on one value has no width left and stays in slot 0
+        step = F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("_lo"), width)), F.lit(0).cast("long"))
+        slot = F.least(step, F.lit(buckets - 1))
         held = ["share", "rank", "below", "_pos"]
         per = near.groupBy(*by, *held, slot.alias("slot")).agg(
             F.sum("c").alias("c"), F.min("v").alias("_lo"), F.max("v").alias("_hi")

@@ -259,7 +259,8 @@ def quadrature_spectrum(
     (Ubaru, Chen and Saad, 2017).
 
     Every node carries one value per probe in fixed columns, so a Lanczos step is one join of the
-    edges with the current vectors, one sum per node and two sums per graph. The weights add up to n.
+    edges with the current vectors, one sum per node and two sums per graph. The constant vector, whose
+    eigenvalue is zero, is taken out of the probes and added back exactly. The weights add up to n.
     """
     spark = edges.sparkSession
     by = names(key)
@@ -274,16 +275,22 @@ def quadrature_spectrum(
         F.when(F.pmod(F.xxhash64(F.lit(seed), F.lit(p), *flat), F.lit(2)) == 0, 1.0).otherwise(-1.0)
         for p in spans
     ]
-    counted = diagonal.join(diagonal.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
+    sizes = stage(
+        diagonal.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("_n"), *[F.avg(s).alias(f"_c{p}") for p, s in zip(spans, sign)]
+        )
+    )
     state = stage(
-        counted.select(
+        diagonal.join(sizes.df, by).select(
             *flat,
             "_deg",
-            *[(s / F.sqrt("_n")).alias(f"v{p}") for p, s in zip(spans, sign)],
+            *[
+                ((s - F.col(f"_c{p}")) / F.sqrt(F.col("_n") * (1 - F.col(f"_c{p}") * F.col(f"_c{p}")))).alias(f"v{p}")
+                for p, s in zip(spans, sign)
+            ],
             *[F.lit(0.0).alias(f"u{p}") for p in spans],
         )
     )
-    sizes = stage(counted.select(*by, "_n").distinct())
     coefs = [sizes]
     beta = None
     for step in range(steps):
@@ -384,11 +391,17 @@ def quadrature_spectrum(
         arrays.withColumn("_r", ritz("alpha", "beta"))
         .groupBy(*by, "n")
         .agg(
-            F.flatten(F.collect_list("_r.theta")).alias("lambdas"),
+            F.flatten(F.collect_list("_r.theta")).alias("_theta"),
             F.flatten(F.collect_list("_r.tau")).alias("_tau"),
         )
-        .withColumn("weights", F.transform("_tau", lambda t: t * F.col("n") / F.lit(float(probes))))
-        .drop("_tau")
+        .select(
+            *by,
+            "n",
+            F.concat(F.array(F.lit(0.0)), "_theta").alias("lambdas"),
+            F.concat(
+                F.array(F.lit(1.0)), F.transform("_tau", lambda t: t * (F.col("n") - 1) / F.lit(float(probes)))
+            ).alias("weights"),
+        )
     )
 
 

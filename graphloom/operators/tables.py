@@ -300,11 +300,9 @@ def density_and_sparsity(edges: DataFrame, key: Key = GRAPH) -> DataFrame:
 
 
 def size_percentage(part: DataFrame, whole: DataFrame, key: Key = GRAPH) -> DataFrame:
-    """Nodes left in ``part`` as a percentage of ``whole``; both are ``(key, n)`` tables."""
+    """Nodes left in ``part`` as a percentage of ``whole``; ``part`` may have further key columns."""
     by = names(key)
-    return part.select(*by, F.col("n").alias("n")).join(
-        whole.select(*by, F.col("n").alias("n_base")), by
-    ).withColumn("size_percentage", F.col("n") / F.col("n_base") * 100)
+    return part.drop("m").join(whole.select(*by, F.col("n").alias("n_base")), by).withColumn("size_percentage", F.col("n") / F.col("n_base") * 100)
 
 
 def stationary_distribution(edges: DataFrame, key: Key = GRAPH) -> DataFrame:

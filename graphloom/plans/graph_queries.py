@@ -346,16 +346,16 @@ TRI_SQL = """WITH tri AS (
       SELECT a.graph_id, a.src AS p, a.dst AS q, b.dst AS s FROM simple_edges a
       JOIN simple_edges b ON b.graph_id = a.graph_id AND b.src = a.dst
       JOIN simple_edges c ON c.graph_id = a.graph_id AND c.src = a.src AND c.dst = b.dst),
-    per AS (SELECT graph_id, node, count(*) AS triangles FROM (
+    tri_per AS (SELECT graph_id, node, count(*) AS triangles FROM (
       SELECT graph_id, p AS node FROM tri UNION ALL SELECT graph_id, q FROM tri
       UNION ALL SELECT graph_id, s FROM tri) GROUP BY ALL),
     clu AS (SELECT d.graph_id, d.node, d.degree, coalesce(triangles, 0) AS triangles,
       CASE WHEN d.degree < 2 THEN CAST(0 AS DOUBLE)
            ELSE 2.0 * coalesce(triangles, 0) / (d.degree * (d.degree - 1)) END AS clustering
-      FROM degrees d LEFT JOIN per USING (graph_id, node))"""
+      FROM degrees d LEFT JOIN tri_per USING (graph_id, node))"""
 
 
-@query("triangles", with_views(f"{TRI_SQL} SELECT * FROM per", "simple_edges", "degrees"))
+@query("triangles", with_views(f"{TRI_SQL} SELECT * FROM tri_per", "simple_edges", "degrees"))
 def _(spark, sf):
     return st.triangles(simple_edges(spark, sf))
 

@@ -373,7 +373,7 @@ def _(spark, sf):
     path = fresh_path(spark, "annotations")
     docs.select("nodes", "edges", "graph_id").write.partitionBy("graph_id").json(path)
     _nodes, edges = gm.scan_annotations(spark, path, multi_line=False)
-    return edges.groupBy("src", "dst").agg(F.countDistinct("graph_id").alias("graphs"))
+    return edges.groupBy("src", "dst").agg(F.countDistinct("corpus").alias("graphs"))
 
 
 @query(

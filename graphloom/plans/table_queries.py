@@ -76,22 +76,20 @@ def _(spark, sf):
 
 @query(
     "chi2_distance",
-    HIST_SQL.format(values="SELECT event_type AS k, value AS v FROM events", bins=20, last=19)
-    + f""", p AS (SELECT a.k AS a, b.k AS b, a.pdf + 2.220446049250313e-16 AS p, b.pdf + 2.220446049250313e-16 AS q
-           FROM h a JOIN h b USING (bin) WHERE a.k < b.k)
-         SELECT a, b, {rd('0.5 * sum((p - q) * (p - q) / (p + q))')} AS chi2 FROM p GROUP BY ALL""",
+    f"""WITH lims AS (SELECT min(value) AS lo, max(value) AS hi FROM events),
+        e AS (SELECT event_type AS k, CAST(least(floor((value - lo) / (hi - lo) * 20 + 1e-9), 19) AS BIGINT) AS bin FROM events, lims),
+        grid AS (SELECT k, UNNEST(range(20)) AS bin FROM (SELECT DISTINCT k FROM e)),
+        n AS (SELECT k, bin, count(*) AS n FROM e GROUP BY ALL),
+        h AS (SELECT k, bin, coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY k) + 2.220446049250313e-16 AS p FROM grid LEFT JOIN n USING (k, bin)),
+        pool AS (SELECT bin, sum(coalesce(n, 0)) / sum(sum(coalesce(n, 0))) OVER () + 2.220446049250313e-16 AS q FROM grid LEFT JOIN n USING (k, bin) GROUP BY bin)
+        SELECT k AS event_type, {rd('0.5 * sum((p - q) * (p - q) / (p + q))', 8)} AS chi2 FROM h JOIN pool USING (bin) GROUP BY k""",
 )
 def _(spark, sf):
-    h = hg.empirical_pdf_cdf(events(spark, sf), "value", 20, "event_type")
-    per = h.groupBy("event_type").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("bin", "pdf"))), lambda s: s["pdf"]).alias("pdf")
-    )
-    a = per.select(F.col("event_type").alias("a"), F.col("pdf").alias("p"))
-    b = per.select(F.col("event_type").alias("b"), F.col("pdf").alias("q"))
-    # one row per event type on each side
-    return a.join(b, F.col("a") < F.col("b")).select(
-        "a", "b", F.round(sc.chi2_distance(F.col("p"), F.col("q")), 6).alias("chi2")
-    )
+    e = events(spark, sf)
+    limits = hg.shared_range(e, "value")
+    per = hg.empirical_pdf_cdf(e, "value", 20, "event_type", limits)
+    pooled = hg.empirical_pdf_cdf(e, "value", 20, None, limits)
+    return hg.chi2_between(per, pooled, "event_type").withColumn("chi2", r("chi2", 8))
 
 
 SCALE_WINDOW = "FROM events WINDOW g AS (PARTITION BY user_id)"

@@ -83,21 +83,32 @@ def graph_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)\.[A-Za-z0-9]+$", 1)
 
 
+def corpus_name(path: Column) -> Column:
+    """Folder of the file; a last folder called ``graphml`` gives way to the one above it."""
+    return F.regexp_extract(path, r"([^/]+)/(?:graphml/)?[^/]+$", 1)
+
+
+KEYS = ("corpus", "graph_id")
+
+
+def _keyed(files: DataFrame) -> DataFrame:
+    path = F.input_file_name()
+    return files.withColumns({"corpus": corpus_name(path), "graph_id": graph_name(path)})
+
+
 def scan_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes ``(graph_id, node_id, x, y)`` and edges ``(graph_id, src, dst, attributes)``.
+    """Nodes ``(corpus, graph_id, node_id, x, y)`` and edges ``(corpus, graph_id, src, dst, attributes)``.
 
-    ``graph_id`` is the file name; edge ends are put in text order, and self-loops are kept.
+    ``graph_id`` is the file name and ``corpus`` its folder; edge ends are put in text order, and
+    self-loops are kept.
     """
-    files = (
-        spark.read.format("xml").option("rowTag", "graphml").schema(GRAPHML).load(path)
-        .withColumn("graph_id", graph_name(F.input_file_name()))
-    )
-    nodes = files.select("graph_id", "key", F.explode("graph.node").alias("n")).select(
-        "graph_id", F.col("n._id").alias("node_id"), *[_attr(a, t, "node", "n.data") for a, t in NODE_ATTRS.items()]
+    files = _keyed(spark.read.format("xml").option("rowTag", "graphml").schema(GRAPHML).load(path))
+    nodes = files.select(*KEYS, "key", F.explode("graph.node").alias("n")).select(
+        *KEYS, F.col("n._id").alias("node_id"), *[_attr(a, t, "node", "n.data") for a, t in NODE_ATTRS.items()]
     )
     ends = (F.col("e._source"), F.col("e._target"))
-    edges = files.select("graph_id", "key", F.explode("graph.edge").alias("e")).select(
-        "graph_id",
+    edges = files.select(*KEYS, "key", F.explode("graph.edge").alias("e")).select(
+        *KEYS,
         F.least(*ends).alias("src"),
         F.greatest(*ends).alias("dst"),
         *[_attr(a, t, "edge", "e.data") for a, t in EDGE_ATTRS.items()],
@@ -115,15 +126,12 @@ def point_id(point: Column) -> Column:
 
 def scan_annotations(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of annotation files; both are sets, and edges have no direction."""
-    files = (
-        spark.read.option("multiLine", multi_line).schema(ANNOTATION).json(path)
-        .withColumn("graph_id", graph_name(F.input_file_name()))
-    )
-    nodes = files.select("graph_id", F.explode("nodes").alias("p")).select(
-        "graph_id", point_id(F.col("p")).alias("node_id"), F.col("p")[0].alias("x"), F.col("p")[1].alias("y")
+    files = _keyed(spark.read.option("multiLine", multi_line).schema(ANNOTATION).json(path))
+    nodes = files.select(*KEYS, F.explode("nodes").alias("p")).select(
+        *KEYS, point_id(F.col("p")).alias("node_id"), F.col("p")[0].alias("x"), F.col("p")[1].alias("y")
     )
-    pair = files.select("graph_id", F.explode("edges").alias("e")).select(
-        "graph_id", F.array_sort(F.array(F.col("e")[0], F.col("e")[1])).alias("e")
+    pair = files.select(*KEYS, F.explode("edges").alias("e")).select(
+        *KEYS, F.array_sort(F.array(F.col("e")[0], F.col("e")[1])).alias("e")
     )
-    edges = pair.select("graph_id", point_id(F.col("e")[0]).alias("src"), point_id(F.col("e")[1]).alias("dst"))
+    edges = pair.select(*KEYS, point_id(F.col("e")[0]).alias("src"), point_id(F.col("e")[1]).alias("dst"))
     return nodes.distinct(), edges.distinct()
