@@ -31,5 +31,12 @@ def attach_stats(df: DataFrame, key: Key, aggs: list[Column]) -> DataFrame:
     )
 
 
-def renamed(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    return df.select(*[F.col(c).alias(mapping.get(c, c)) for c in df.columns])
+def spread_by(df: DataFrame, key: Key, *order: str) -> DataFrame:
+    """Hash rows to all shuffle partitions by key and sort them inside.
+
+    The number is explicit so that adaptive execution does not merge small partitions: the work that
+    follows is heavy per row, which the size of the rows does not show.
+    """
+    by = names(key)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *by).sortWithinPartitions(*by, *order)

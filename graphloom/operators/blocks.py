@@ -14,11 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import Key, names
+from ..functions.keys import Key, names, spread_by
 from .tables import GRAPH, graph_size
 
 MAX_NODES = 2000
 STACK_CELLS = 1 << 22
+FRAME_ROWS = 50_000
 
 
 def split_by_size(
@@ -40,25 +41,32 @@ def bounded(edges: DataFrame, key: Key = GRAPH, max_nodes: int = MAX_NODES) -> D
     return edges.join(graph_size(edges, key).select(*by, limit.alias("_fits")), by).where("_fits").drop("_fits")
 
 
-def whole_groups(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
-    """Re-cut a key-sorted stream of frames so that no group crosses two frames."""
+def _changes(frame: pd.DataFrame, by: list[str]) -> np.ndarray:
+    """True where a row starts another group than the row before it."""
+    fresh = np.zeros(len(frame), bool)
+    for c in by:
+        values = frame[c].to_numpy()
+        fresh[1:] |= values[1:] != values[:-1]
+    return fresh
+
+
+def whole_groups(frames: Iterator[pd.DataFrame], by: list[str], rows: int = 1) -> Iterator[pd.DataFrame]:
+    """Re-cut a key-sorted stream into frames of at least ``rows`` rows that split no group."""
     held: list[pd.DataFrame] = []
+    count = 0
     for frame in frames:
         if frame.empty:
             continue
-        last = (frame[by] == frame[by].iloc[-1]).all(axis=1).to_numpy()
-        cut = len(frame) - int(last[::-1].argmin()) if not last.all() else 0
-        if cut == 0 and held and (held[-1][by].iloc[-1] == frame[by].iloc[0]).all():
-            held.append(frame)
+        held.append(frame)
+        count += len(frame)
+        if count < rows:
             continue
-        if cut == 0:
-            if held:
-                yield pd.concat(held, ignore_index=True)
-            held = [frame]
-            continue
-        held.append(frame.iloc[:cut])
-        yield pd.concat(held, ignore_index=True)
-        held = [frame.iloc[cut:]]
+        joined = pd.concat(held, ignore_index=True) if len(held) > 1 else frame
+        starts = np.flatnonzero(_changes(joined, by))
+        if len(starts):
+            yield joined.iloc[: starts[-1]].reset_index(drop=True)
+            joined = joined.iloc[starts[-1] :]
+        held, count = [joined], len(joined)
     if held:
         yield pd.concat(held, ignore_index=True)
 
@@ -80,18 +88,25 @@ class Stack:
 
 def stacks(frame: pd.DataFrame, by: list[str]) -> Iterator[Stack]:
     """Group the whole graphs of ``frame`` by size and build their matrices."""
-    graph = frame.groupby(by, sort=False).ngroup().to_numpy()
+    fresh = _changes(frame, by)
+    graph = np.cumsum(fresh)
     src, dst = frame["src"].to_numpy(), frame["dst"].to_numpy()
     weight = frame["weight"].to_numpy(float) if "weight" in frame else np.ones(len(frame))
-    ends = pd.DataFrame({"g": np.concatenate([graph, graph]), "v": np.concatenate([src, dst])})
-    nodes = ends.drop_duplicates().sort_values(["g", "v"])
-    g_of, v_of = nodes["g"].to_numpy(), nodes["v"].to_numpy()
-    size = np.bincount(g_of)
+    # number the nodes of each graph in order of their id
+    owner, ends = np.concatenate([graph, graph]), np.concatenate([src, dst])
+    order = np.lexsort((ends, owner))
+    g_sorted, v_sorted = owner[order], ends[order]
+    unseen = np.ones(len(order), bool)
+    unseen[1:] = (g_sorted[1:] != g_sorted[:-1]) | (v_sorted[1:] != v_sorted[:-1])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(unseen) - 1
+    v_of = v_sorted[unseen]
+    size = np.bincount(g_sorted[unseen])
     first = np.concatenate([[0], np.cumsum(size)])
-    place = pd.Series(np.arange(len(nodes)), index=pd.MultiIndex.from_arrays([g_of, v_of]))
-    i = place.reindex(pd.MultiIndex.from_arrays([graph, src])).to_numpy() - first[graph]
-    j = place.reindex(pd.MultiIndex.from_arrays([graph, dst])).to_numpy() - first[graph]
-    keys = frame.loc[~pd.Series(graph).duplicated().to_numpy(), by].reset_index(drop=True)
+    local = number - first[owner]
+    i, j = local[: len(frame)], local[len(frame) :]
+    fresh[0] = True
+    keys = frame.loc[fresh, by].reset_index(drop=True)
     for n in np.unique(size):
         members = np.flatnonzero(size == n)
         step = max(1, STACK_CELLS // int(n * n))
@@ -117,12 +132,11 @@ def map_blocks(
     cols = [*by, "src", "dst"] + (["weight"] if "weight" in edges.columns else [])
 
     def run(frames):
-        for frame in whole_groups(frames, by):
+        for frame in whole_groups(frames, by, FRAME_ROWS):
             for stack in stacks(frame, by):
                 yield solve(stack)
 
-    sorted_edges = edges.select(*cols).repartition(*by).sortWithinPartitions(*by)
-    return sorted_edges.mapInPandas(run, schema)
+    return spread_by(edges.select(*cols), by).mapInPandas(run, schema)
 
 
 def key_schema(df: DataFrame, key: Key) -> str:

@@ -23,12 +23,17 @@ def connected_components(edges: DataFrame, key: Key = GRAPH, nodes: DataFrame |
     arcs = stage(
         endpoints(edges.where(F.col("src") != F.col("dst")), key).select(*by, "node", "peer")
     )
-    ends = endpoints(edges, key).select(*flat)
+    ends = endpoints(edges, key).select(*flat, "peer")
     if nodes is not None:
-        ends = ends.unionByName(nodes.select(*flat))
+        ends = ends.unionByName(nodes.select(*flat, F.col("node").alias("peer")))
+    # start one step ahead: every node already knows the smallest of its neighbours
+    first = stage(ends.groupBy(*flat).agg(F.least(F.col("node"), F.min("peer")).alias("f")))
     state = stage(
-        ends.distinct().select(*flat, F.col("node").alias("f"), F.col("node").alias("g"))
+        first.df.join(first.df.select(*by, F.col("node").alias("f"), F.col("f").alias("g")), [*by, "f"]).select(
+            *flat, "f", "g"
+        )
     )
+    release(spark, first)
     while True:
         around = (
             arcs.df.join(

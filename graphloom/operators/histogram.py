@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import Key, names
 
 
-def bin_index(x: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """Bin of ``x`` among equal bins that are closed on the left, the last one on both sides.
+def with_bin(df: DataFrame, col: str, bins: int) -> DataFrame:
+    """Add ``bin`` of ``col`` among equal bins of ``[_lo, _hi]``, closed on the left, the last one on
+    both sides; null outside.
 
     The position from the division is corrected against the edges themselves, as rounding can put
-    a value that lies on an edge one bin off. Values outside get null.
+    a value that lies on an edge one bin off. The steps are columns of their own: as one expression
+    they would repeat the value dozens of times.
     """
+    x, lo, hi = F.col(col), F.col("_lo"), F.col("_hi")
     step = (hi - lo) / bins
-    raw = F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1))
-    low = F.when(x < lo + raw * step, raw - 1).otherwise(raw)
-    idx = F.when((x >= lo + (low + 1) * step) & (low < bins - 1), low + 1).otherwise(low)
-    return F.when((x >= lo) & (x <= hi), idx.cast("long"))
+    raw, low = F.col("_raw"), F.col("_low")
+    inside = (x >= lo) & (x <= hi)
+    return (
+        df.withColumn("_raw", F.when(inside, F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1))))
+        .withColumn("_low", F.when(x < lo + raw * step, raw - 1).otherwise(raw))
+        .withColumn("bin", F.when((x >= lo + (low + 1) * step) & (low < bins - 1), low + 1).otherwise(low).cast("long"))
+        .drop("_raw", "_low")
+    )
 
 
 def _fill(counts: DataFrame, ranges: DataFrame, by: list[str], bins: int) -> DataFrame:
@@ -76,12 +83,8 @@ def empirical_pdf_cdf(
             )
     else:
         ranged = df.withColumns({"_lo": F.lit(float(limits[0])), "_hi": F.lit(float(limits[1]))})
-    idx = bin_index(F.col(col), F.col("_lo"), F.col("_hi"), bins)
-    binned = ranged.select(*by, "_lo", "_hi", idx.alias("bin"))
-    counts = (
-        binned.groupBy(*by, "bin", "_lo", "_hi")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    binned = with_bin(ranged, col, bins)
+    counts = binned.groupBy(*by, "bin", "_lo", "_hi").agg(F.count(F.lit(1)).alias("n"))
     ranges = counts.groupBy(*by).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
     inside = counts.where(F.col("bin").isNotNull()).select(*by, "bin", "n")
     if not by:

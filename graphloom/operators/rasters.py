@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import Key, names
+from ..functions.keys import Key, names, spread_by
 from ..functions.scalars import angle_deg
 from .histogram import histogram_array
 
@@ -69,9 +69,15 @@ def gradient_angles_sobel(raster: DataFrame, key: Key = IMAGE, value: str = "v")
     """Gradient direction per pixel in (0, 360]; pixels without a gradient are dropped."""
     near = stencil(raster, F.col(value).cast("double"), key, "mirror")
     cell = lambda i, j: F.col("_n")[i][j]
-    along_y, along_x = _weighted(TRANSPOSED, cell), _weighted(SOBEL, cell)
-    out = near.withColumn("angle", angle_deg(along_y, along_x))
-    return out.where(F.col("angle").isNotNull()).drop("_n")
+    parts = near.withColumns({"_gy": _weighted(TRANSPOSED, cell), "_gx": _weighted(SOBEL, cell)})
+    return _directions(parts).drop("_n")
+
+
+def _directions(parts: DataFrame) -> DataFrame:
+    """Direction from the columns ``_gy`` and ``_gx``, which it consumes."""
+    tiny = 1e-10
+    moving = parts.where((F.abs("_gy") > tiny) | (F.abs("_gx") > tiny))
+    return moving.withColumn("angle", angle_deg(F.col("_gy"), F.col("_gx"))).drop("_gy", "_gx")
 
 
 def region_angles(raster: DataFrame, key: Key = IMAGE, value: str = "v", label: str = "label") -> DataFrame:
@@ -82,10 +88,16 @@ def region_angles(raster: DataFrame, key: Key = IMAGE, value: str = "v", label:
     """
     near = stencil(raster, F.struct(F.col(value).cast("double").alias("v"), F.col(label).alias("l")), key, "mirror")
     labels = F.array_distinct(F.transform(F.flatten("_n"), lambda c: c["l"]))
-    spread = near.select(*names(key), "x", "y", "_n", F.explode(labels).alias("label"))
-    cell = lambda i, j: F.when(F.col("_n")[i][j]["l"] == F.col("label"), F.col("_n")[i][j]["v"]).otherwise(0.0)
-    angle = angle_deg(_weighted(TRANSPOSED, cell), _weighted(SOBEL, cell))
-    return spread.select(*names(key), "label", "x", "y", angle.alias("angle")).where("angle is not null")
+
+    def gradients(label):
+        cell = lambda i, j: F.when(F.col("_n")[i][j]["l"] == label, F.col("_n")[i][j]["v"]).otherwise(0.0)
+        return F.struct(
+            label.alias("label"), _weighted(TRANSPOSED, cell).alias("_gy"), _weighted(SOBEL, cell).alias("_gx")
+        )
+
+    # written out with their gradients, so that these are computed once per label
+    spread = near.select(*names(key), "x", "y", F.inline(F.transform(labels, gradients)))
+    return _directions(spread)
 
 
 def angle_histogram(angles: DataFrame, bins: int = 120, key: Key = (IMAGE, "label")) -> DataFrame:
@@ -125,8 +137,10 @@ def gradient_angles_gaussian(raster: DataFrame, size: int = 5, sigma: float = 1.
     passed = base.withColumns(
         {"_s": _convolve_line("_v", smooth, across), "_d": _convolve_line("_v", slope, across)}
     )
-    angle = angle_deg(_convolve_line("_s", slope, down), _convolve_line("_d", smooth, down))
-    return passed.withColumn("angle", angle).where("angle is not null").drop("_v", "_s", "_d")
+    parts = passed.withColumns(
+        {"_gy": _convolve_line("_s", slope, down), "_gx": _convolve_line("_d", smooth, down)}
+    )
+    return _directions(parts).drop("_v", "_s", "_d")
 
 
 def boundary_pixels(labels: DataFrame, key: Key = IMAGE, label: str = "label") -> DataFrame:
@@ -357,12 +371,8 @@ def sequence_complexity(df: DataFrame, order: list[str], symbol: str, key: Key)
         if current is not None:
             yield pd.DataFrame([(*current, codes + 1, length)], columns=[*by, "codes", "length"])
 
-    streamed = (
-        df.select(*by, *[c for c in order if c not in by], *([symbol] if symbol not in (*by, *order) else []))
-        .repartition(*by)
-        .sortWithinPartitions(*by, *order)
-    )
-    return streamed.mapInPandas(run, schema).withColumn("ratio", F.col("codes") / F.col("length"))
+    cols = list(dict.fromkeys([*by, *order, symbol]))
+    return spread_by(df.select(*cols), by, *order).mapInPandas(run, schema).withColumn("ratio", F.col("codes") / F.col("length"))
 
 
 def angular_edge_weights(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ from ..staging import release, stage
 from .blocks import MAX_NODES, Stack, bounded, key_schema, map_blocks, split_by_size, spread
 from .tables import GRAPH, degree, endpoints
 
+CELLS = 1 << 22  # matrix entries held at a time
 BETA_GRID = (-3.0, 4.0, 300)  # fixed values: exponents and number of points
 
 
@@ -74,22 +76,44 @@ def array_spectrum(values: DataFrame, col: str, key: Key = GRAPH) -> DataFrame:
     )
 
 
-def entropy_column(betas: list[float], lambdas: Column, weights: Column) -> Column:
+def entropy_column(betas: list[float], lambdas: Column, weights: Column, form: str = "plain") -> Column:
     """S(beta) = ln Z + beta * <lambda> for every beta, as an array; NaN becomes 0."""
     grid = np.asarray(betas, float)
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def curve(lams: pd.Series, mults: pd.Series) -> pd.Series:
-        out = []
-        for lam, mult in zip(lams, mults):
-            boltz = np.exp(-np.outer(grid, lam)) * mult
-            z = boltz.sum(axis=1)
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def curve(lams: pa.Array, mults: pa.Array) -> pa.Array:
+        ends = np.asarray(lams.offsets, np.int64)
+        lam = np.asarray(lams.flatten(), float)
+        mult = np.asarray(mults.flatten(), float)
+        ends = ends - ends[0]
+        parts = []
+        for lo, hi in _row_chunks(ends, CELLS // len(grid)):
+            cut = slice(ends[lo], ends[hi])
+            starts = ends[lo:hi] - ends[lo]
+            boltz = np.exp(np.multiply.outer(-grid, lam[cut])) * mult[cut]
+            z = np.add.reduceat(boltz, starts, axis=1)
+            energy = np.add.reduceat(boltz * lam[cut], starts, axis=1)
             with np.errstate(invalid="ignore", divide="ignore"):
-                s = np.log(z) + grid * (boltz @ np.asarray(lam)) / z
-            out.append(np.nan_to_num(s, nan=0.0))
-        return pd.Series(out)
+                s = np.log(z) + grid[:, None] * energy / z
+                if form != "plain":
+                    s = s / np.log(np.add.reduceat(mult[cut], starts))
+            s = np.nan_to_num(s, nan=0.0)
+            parts.append((1.0 - s if form == "complement" else s).T.ravel())
+        values = np.concatenate(parts) if parts else np.empty(0)
+        offsets = np.arange(len(lams) + 1, dtype=np.int32) * len(grid)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+    # explode adds a filter on its input, which would run a deterministic function twice
+    return curve.asNondeterministic()(lambdas, weights)
+
 
-    return curve(lambdas, weights)
+def _row_chunks(ends: np.ndarray, cells: int):
+    """Ranges of rows that hold about ``cells`` values together, one row at least."""
+    lo, rows = 0, len(ends) - 1
+    while lo < rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + cells, side="right")) - 1)
+        yield lo, min(hi, rows)
+        lo = hi
 
 
 def spectral_entropy(spectrum: DataFrame, betas: list[float] | None = None, form: str = "plain") -> DataFrame:
@@ -98,11 +122,8 @@ def spectral_entropy(spectrum: DataFrame, betas: list[float] | None = None, form
     ``form``: ``plain`` S, ``ratio`` S / ln n, or ``complement`` 1 - S / ln n.
     """
     betas = betas or log_grid(*BETA_GRID)
-    out = spectrum.withColumn("s", entropy_column(betas, F.col("lambdas"), F.col("weights")))
-    if form != "plain":
-        ratio = F.transform("s", lambda v: v / F.log(F.col("n")))
-        out = out.withColumn("s", ratio if form == "ratio" else F.transform(ratio, lambda v: 1 - v))
-    return out.drop("lambdas", "weights")
+    curve = entropy_column(betas, F.col("lambdas"), F.col("weights"), form)
+    return spectrum.withColumn("s", curve).drop("lambdas", "weights")
 
 
 def clip_curve(curves: DataFrame, top: float = 1e16) -> DataFrame:
@@ -140,7 +161,7 @@ def log_likelihood(pairs: DataFrame, betas: list[float] | None = None) -> DataFr
             out.append(-trace - np.log(np.exp(-np.outer(grid, mod)).sum(axis=1)))
         return pd.Series(out)
 
-    return pairs.withColumn("log_likelihood", curve("observed", "model")).drop("observed", "model")
+    return pairs.withColumn("log_likelihood", curve.asNondeterministic()("observed", "model")).drop("observed", "model")
 
 
 def renormalize_spectrum(spectrum: DataFrame, size: Column | int) -> DataFrame:
@@ -171,7 +192,7 @@ def specific_heat_from_spectrum(spectrum: DataFrame, taus: list[float] | None =
             out.append(-np.gradient(mean, grid, edge_order=2) * grid**2)
         return pd.Series(out)
 
-    return spectrum.withColumn("c", heat("lambdas", "weights")).drop("lambdas", "weights")
+    return spectrum.withColumn("c", heat.asNondeterministic()("lambdas", "weights")).drop("lambdas", "weights")
 
 
 def density_matrix(edges: DataFrame, tau: float, key: Key = GRAPH) -> DataFrame:
@@ -388,7 +409,7 @@ def quadrature_spectrum(
         return pd.DataFrame({"theta": theta, "tau": tau})
 
     return (
-        arrays.withColumn("_r", ritz("alpha", "beta"))
+        arrays.withColumn("_r", ritz.asNondeterministic()("alpha", "beta"))
         .groupBy(*by, "n")
         .agg(
             F.flatten(F.collect_list("_r.theta")).alias("_theta"),

@@ -206,11 +206,11 @@ def test_whole_groups_rejoins_batches():
 
     rows = pd.DataFrame({"k": [1] * 3 + [2] * 5 + [3] + [4] * 4, "v": range(13)})
     for step in (1, 2, 3, 5, 13):
-        cuts = [rows.iloc[i : i + step] for i in range(0, 13, step)]
-        out = list(whole_groups(iter(cuts), ["k"]))
-        assert pd.concat(out)["v"].tolist() == list(range(13))
-        seen = [set(f["k"]) for f in out]
-        assert sum(len(s) for s in seen) == 4
+        for least in (1, 4, 100):
+            cuts = [rows.iloc[i : i + step] for i in range(0, 13, step)]
+            out = list(whole_groups(iter(cuts), ["k"], least))
+            assert pd.concat(out)["v"].tolist() == list(range(13))
+            assert sum(len(set(f["k"])) for f in out) == 4
 
 
 def test_blocks_refuse_large_graphs(spark):
