@@ -22,20 +22,25 @@ STACK_CELLS = 1 << 22
 FRAME_ROWS = 50_000
 
 
+def _fits(max_nodes: int):
+    """Few enough nodes, and no more edges than a simple graph of that many nodes can have."""
+    return (F.col("n") <= max_nodes) & (F.col("m") <= max_nodes * (max_nodes + 1) // 2)
+
+
 def split_by_size(
     edges: DataFrame, key: Key = GRAPH, max_nodes: int = MAX_NODES, sizes: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Edges of the graphs with at most ``max_nodes`` nodes, and those of the larger ones."""
     by = names(key)
     sizes = graph_size(edges, key) if sizes is None else sizes
-    marked = edges.join(sizes.select(*by, (F.col("n") <= max_nodes).alias("_small")), by)
+    marked = edges.join(sizes.select(*by, _fits(max_nodes).alias("_small")), by)
     return marked.where("_small").drop("_small"), marked.where("not _small").drop("_small")
 
 
 def bounded(edges: DataFrame, key: Key = GRAPH, max_nodes: int = MAX_NODES) -> DataFrame:
     """The same edges, failing the job when a graph is too large for a dense block."""
     by = names(key)
-    limit = F.when(F.col("n") <= max_nodes, F.lit(True)).otherwise(
+    limit = F.when(_fits(max_nodes), F.lit(True)).otherwise(
         F.raise_error(F.lit(f"graph above {max_nodes} nodes: use the join-based form")).cast("boolean")
     )
     return edges.join(graph_size(edges, key).select(*by, limit.alias("_fits")), by).where("_fits").drop("_fits")

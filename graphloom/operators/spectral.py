@@ -66,16 +66,6 @@ def rank_spectrum(spectrum: DataFrame, key: Key = GRAPH) -> DataFrame:
     )
 
 
-def array_spectrum(values: DataFrame, col: str, key: Key = GRAPH) -> DataFrame:
-    """Spectrum rows from a long table of eigenvalues (bounded per graph by construction)."""
-    return (
-        values.groupBy(*names(key))
-        .agg(F.array_sort(F.collect_list(col)).alias("lambdas"))
-        .withColumn("n", F.size("lambdas").cast("long"))
-        .withColumn("weights", F.array_repeat(F.lit(1.0), F.size("lambdas")))
-    )
-
-
 def entropy_column(betas: list[float], lambdas: Column, weights: Column, form: str = "plain") -> Column:
     """S(beta) = ln Z + beta * <lambda> for every beta, as an array; NaN becomes 0."""
     grid = np.asarray(betas, float)

@@ -17,6 +17,8 @@ from ..operators import spectral as sp
 from ..operators import tables as tb
 from ..staging import stage
 
+MAX_REFERENCES = 256  # mean curves sent along in one broadcast row
+
 
 def clean_corpus(
     nodes: DataFrame, edges: DataFrame, eps: float, key: Key = "graph_id", drop_loops: bool = True, component_first: bool = False
@@ -101,6 +103,7 @@ def network_against_intensity(
     """
     by = names(key)
     per = [*by, "share"]
+    edges, intensity = stage(edges).df, stage(intensity).df
     base = tb.graph_size(edges, key)
     pruned = stage(hg.prune_edges(edges, shares, key)).df
     core = stage(comp.largest_component_edges(pruned, per)).df
@@ -128,9 +131,18 @@ def network_against_intensity(
 def closest_corpus(curves: DataFrame, references: DataFrame, key: Key = "graph_id") -> DataFrame:
     """Corpus whose mean curve has the smallest squared distance to each graph's curve.
 
-    ``curves`` is ``(key, s array)``; ``references`` is ``(corpus, s array)`` with one row per corpus,
-    gathered into one array.
+    ``curves`` is ``(key, s array)``; ``references`` is ``(corpus, s array)``, one row per corpus. Few
+    references travel as one array beside the curves; many are matched grid point by grid point.
     """
+    by = names(key)
+    references = stage(references).df
+    if references.count() > MAX_REFERENCES:
+        long = references.select("corpus", F.posexplode("s").alias("beta_idx", "b"))
+        gaps = curves.select(*by, F.posexplode("s").alias("beta_idx", "a")).join(long, "beta_idx")
+        gap = F.col("a") - F.col("b")
+        each = gaps.groupBy(*by, "corpus").agg(F.sum(gap * gap).alias("sse"))
+        best = F.min(F.struct("sse", "corpus"))
+        return each.groupBy(*by).agg(best.alias("_b")).select(*by, "_b.corpus", "_b.sse")
     packed = references.agg(F.collect_list(F.struct("corpus", "s")).alias("_refs")).withColumn("_one", F.lit(1))
     both = curves.withColumn("_one", F.lit(1)).join(F.broadcast(packed), "_one")
 
@@ -139,4 +151,4 @@ def closest_corpus(curves: DataFrame, references: DataFrame, key: Key = "graph_i
         return F.aggregate(gaps, F.lit(0.0), lambda t, v: t + v)
 
     best = F.array_min(F.transform("_refs", lambda ref: F.struct(sse(ref).alias("sse"), ref["corpus"].alias("corpus"))))
-    return both.select(*names(key), best.alias("_b")).select(*names(key), "_b.corpus", "_b.sse")
+    return both.select(*by, best.alias("_b")).select(*by, "_b.corpus", "_b.sse")

@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -74,22 +74,9 @@ def with_row_index(df: DataFrame, order: list[str], name: str = "idx") -> DataFr
     ).df
     split = sorted_rows.withColumn("_part", F.floor(F.col("_mid") / position))
     counts = split.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
-    totals = counts.select(F.array_sort(F.collect_list(F.struct("_part", "_rows"))).alias("_all"))
-    offsets = totals.select(
-        F.explode(
-            F.transform(
-                "_all",
-                lambda cur: F.struct(
-                    cur["_part"].alias("_part"),
-                    F.aggregate(
-                        F.filter("_all", lambda o: o["_part"] < cur["_part"]),
-                        F.lit(0).cast("long"),
-                        lambda acc, o: acc + o["_rows"],
-                    ).alias("_offset"),
-                ),
-            )
-        ).alias("_o")
-    ).select("_o.*")
+    # one row per partition: the running total over them is all that is ordered in one task
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     return (
         split.join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_offset") + F.pmod(F.col("_mid"), F.lit(position)))

@@ -171,6 +171,19 @@ def test_random_walks_follow_edges(spark):
         assert all(b in near[r["graph_id"]][a] for a, b in zip(r["path"], r["path"][1:]))
 
 
+def test_walk_embedding_separates_cliques(spark):
+    from . import graphs as g
+
+    two = g.clique(6) + [(a + 6, b + 6) for a, b in g.clique(6)] + [(0, 6)]
+    walks = features.random_walks(g.frame(spark, {1: two}), length=10, walks=6)
+    rows = {r["node"]: np.array(r["embedding"]) for r in features.walk_embedding(walks, window=3, rounds=8).collect()}
+    assert set(rows) == set(range(12))
+    left = np.mean([rows[v] for v in range(1, 6)], axis=0)
+    right = np.mean([rows[v] for v in range(7, 12)], axis=0)
+    spread = max(np.linalg.norm(rows[v] - left) for v in range(1, 6))
+    assert np.linalg.norm(left - right) > spread
+
+
 def test_path_params(spark):
     df = spark.createDataFrame([("Net128_d0.32_p0.20/graphml",), ("other",)], "path string")
     rows = paths.path_params(df, "path", {"d": r"_d([0-9.]+)", "p": r"_p([0-9.]+)"}).collect()
