@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import stage
+
 Key = str | list[str] | tuple[str, ...] | None
 
 
@@ -14,6 +16,15 @@ def names(key: Key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def join_stats(df: DataFrame, stats: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join rows with a table of aggregates, which is staged first.
+
+    Adaptive execution splits a hot key only where both sides come straight from a shuffle, which an
+    aggregate does not; a written table does, and its true size decides whether it is broadcast.
+    """
+    return df.join(stage(stats).df, on, how)
+
+
 def attach_stats(df: DataFrame, key: Key, aggs: list[Column]) -> DataFrame:
     """Join per-group aggregates back onto the rows.
 
@@ -22,7 +33,7 @@ def attach_stats(df: DataFrame, key: Key, aggs: list[Column]) -> DataFrame:
     """
     by = names(key)
     if by:
-        return df.join(df.groupBy(*by).agg(*aggs), by)
+        return join_stats(df, df.groupBy(*by).agg(*aggs), by)
     one = F.lit(1).alias("_one")
     return (
         df.select("*", one)

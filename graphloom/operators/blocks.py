@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import Key, names, spread_by
+from ..functions.keys import Key, join_stats, names, spread_by
+from ..staging import stage
 from .tables import GRAPH, graph_size
 
 MAX_NODES = 2000
@@ -33,7 +34,7 @@ def split_by_size(
     """Edges of the graphs with at most ``max_nodes`` nodes, and those of the larger ones."""
     by = names(key)
     sizes = graph_size(edges, key) if sizes is None else sizes
-    marked = edges.join(sizes.select(*by, _fits(max_nodes).alias("_small")), by)
+    marked = join_stats(edges, sizes.select(*by, _fits(max_nodes).alias("_small")), by)
     return marked.where("_small").drop("_small"), marked.where("not _small").drop("_small")
 
 
@@ -43,7 +44,8 @@ def bounded(edges: DataFrame, key: Key = GRAPH, max_nodes: int = MAX_NODES) -> D
     limit = F.when(_fits(max_nodes), F.lit(True)).otherwise(
         F.raise_error(F.lit(f"graph above {max_nodes} nodes: use the join-based form")).cast("boolean")
     )
-    return edges.join(graph_size(edges, key).select(*by, limit.alias("_fits")), by).where("_fits").drop("_fits")
+    sizes = stage(graph_size(edges, key)).df
+    return edges.join(sizes.select(*by, limit.alias("_fits")), by).where("_fits").drop("_fits")
 
 
 def _changes(frame: pd.DataFrame, by: list[str]) -> np.ndarray:

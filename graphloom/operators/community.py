@@ -47,7 +47,7 @@ def _move_nodes(edges: DataFrame, by: list[str], resolution: float, rounds: int)
     state = stage(degrees.join(totals, by).withColumn("community", F.col("node")))
     links = arcs.df.where(F.col("node") != F.col("peer"))
     for turn in range(rounds):
-        volume = state.df.groupBy(*by, "community").agg(F.sum("k").alias("tot"))
+        volume = stage(state.df.groupBy(*by, "community").agg(F.sum("k").alias("tot"))).df
         own = state.df.select(*by, "node", "k", "m2", F.col("community").alias("own"))
         toward = (
             links.join(state.df.select(*by, F.col("node").alias("peer"), "community"), [*by, "peer"])

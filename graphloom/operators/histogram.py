@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import Key, names
+from ..functions.keys import Key, join_stats, names
 
 
 def with_bin(df: DataFrame, col: str, bins: int) -> DataFrame:
@@ -76,7 +76,7 @@ def empirical_pdf_cdf(
     if isinstance(limits, DataFrame):
         shared = [c for c in by if c in limits.columns]
         if shared:
-            ranged = df.join(limits, shared)
+            ranged = join_stats(df, limits, shared)
         else:
             ranged = df.withColumn("_one", F.lit(1)).join(
                 F.broadcast(limits.withColumn("_one", F.lit(1))), "_one"
@@ -190,7 +190,7 @@ def prune_edges(edges: DataFrame, shares: list[float], key: Key = "graph_id", bi
     packed = limits.groupBy(*by).agg(F.collect_list(F.struct("share", "threshold")).alias("_limits"))
     kept = F.filter("_limits", lambda t: F.col("weight") > t["threshold"])
     return (
-        edges.join(packed, by)
+        join_stats(edges, packed, by)
         .withColumn("_kept", F.explode(kept))
         .withColumn("share", F.col("_kept.share"))
         .drop("_limits", "_kept")

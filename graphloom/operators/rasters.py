@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import Key, names, spread_by
+from ..functions.keys import Key, join_stats, names, spread_by
 from ..functions.scalars import angle_deg
 from .histogram import histogram_array
 
@@ -213,7 +213,7 @@ def bilinear_resample(raster: DataFrame, height: int, width: int, key: Key = IMA
     pixel from it, and the shares combine before the exchange; there is no join per corner.
     """
     by = names(key)
-    sized = raster.join(image_sizes(raster, key), by)
+    sized = join_stats(raster, image_sizes(raster, key), by)
     last = {"x": (F.col("_w") - 1, width), "y": (F.col("_h") - 1, height)}
     for axis, (span, n) in last.items():
         ratio = (span / F.lit(float(n - 1))) if n > 1 else F.lit(0.0)
@@ -246,7 +246,7 @@ def tile_grid(raster: DataFrame, height: int, width: int, shift: int | Column =
 
 def tile_grid_shifted(raster: DataFrame, height: int, width: int, key: Key = IMAGE) -> DataFrame:
     """Tiles of the image without a margin of an eighth of its height on every side."""
-    sized = raster.join(image_sizes(raster, key), names(key)).withColumn("_t", F.floor(F.col("_h") / 8))
+    sized = join_stats(raster, image_sizes(raster, key), names(key)).withColumn("_t", F.floor(F.col("_h") / 8))
     t = F.col("_t")
     inner = sized.where(
         (F.col("x") >= t) & (F.col("x") < F.col("_w") - t) & (F.col("y") >= t) & (F.col("y") < F.col("_h") - t)
@@ -265,7 +265,7 @@ def _split_index(pos: Column, n: Column, parts: int) -> Column:
 
 
 def array_split_tiles(raster: DataFrame, n_rows: int, n_cols: int, key: Key = IMAGE) -> DataFrame:
-    sized = raster.join(image_sizes(raster, key), names(key))
+    sized = join_stats(raster, image_sizes(raster, key), names(key))
     return sized.withColumn(
         "tile",
         _split_index(F.col("y"), F.col("_h"), n_rows) * n_cols + _split_index(F.col("x"), F.col("_w"), n_cols),
@@ -290,7 +290,8 @@ def random_tile_origins(
     cand = all_origins.select(*by, "tile_x", "tile_y")
     if exclude is not None:
         cand = cand.join(exclude, [*by, "tile_x", "tile_y"], "left_anti")
-    hashed = cand.withColumn("_h", F.xxhash64(F.lit(seed), *by, "tile_x", "tile_y"))
+    parts = [F.lit(seed), *[F.col(c) for c in (*by, "tile_x", "tile_y")]]
+    hashed = cand.withColumn("_h", F.md5(F.concat_ws("-", *[p.cast("string") for p in parts])))
     w = Window.partitionBy(*by).orderBy("_h", "tile_x", "tile_y")
     return hashed.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r", "_h")
 
@@ -305,7 +306,7 @@ def cut_tiles(raster: DataFrame, origins: DataFrame, height: int, width: int, ke
         lambda o: (x >= o["tile_x"]) & (x < o["tile_x"] + width) & (y >= o["tile_y"]) & (y < o["tile_y"] + height),
     )
     return (
-        raster.join(packed, by)
+        join_stats(raster, packed, by)
         .withColumn("_t", F.explode(hit))
         .select(*raster.columns, "_t.tile_x", "_t.tile_y", _tile_name(F.col("_t.tile_x"), F.col("_t.tile_y")).alias("tile"))
     )
@@ -313,7 +314,7 @@ def cut_tiles(raster: DataFrame, origins: DataFrame, height: int, width: int, ke
 
 def square_segments(raster: DataFrame, size: int, key: Key = IMAGE) -> DataFrame:
     """Label of the square of each pixel, from 1, row by row; leftover pixels form narrower squares."""
-    sized = raster.join(image_sizes(raster, key), names(key))
+    sized = join_stats(raster, image_sizes(raster, key), names(key))
     per_row = F.ceil(F.col("_w") / size)
     label = 1 + F.floor(F.col("y") / size) * per_row + F.floor(F.col("x") / size)
     return sized.withColumn("label", label.cast("long")).drop("_w", "_h")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import Key, attach_stats, names
+from ..functions.keys import Key, attach_stats, join_stats, names
 from ..functions.scalars import order_of_magnitude
 from ..staging import release, stage
 
@@ -123,7 +123,7 @@ def percentile_stretch(df: DataFrame, col: str, low: float, high: float, key: Ke
     wide = limits.groupBy(*by).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     a, b = F.col("_lo"), F.col("_hi")
     clipped = F.greatest(F.least(F.col(col), b), a)
-    return df.join(wide, by).withColumn(col, F.try_divide(clipped - a, b - a)).drop("_lo", "_hi")
+    return join_stats(df, wide, by).withColumn(col, F.try_divide(clipped - a, b - a)).drop("_lo", "_hi")
 
 
 def moving_average(

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import Key, attach_stats, names
-from .tables import GRAPH, degree, endpoints
+from ..staging import stage
+from .tables import GRAPH, degree
 
 
 def triangles(edges: DataFrame, key: Key = GRAPH) -> DataFrame:
@@ -16,7 +17,7 @@ def triangles(edges: DataFrame, key: Key = GRAPH) -> DataFrame:
     sqrt(2m) outgoing edges, however large a hub is, which bounds the wedges a single node forms.
     """
     by = names(key)
-    deg = degree(edges, key)
+    deg = stage(degree(edges, key)).df
     lo = deg.select(*by, F.col("node").alias("src"), F.col("degree").alias("_ds"))
     hi = deg.select(*by, F.col("node").alias("dst"), F.col("degree").alias("_dd"))
     marked = edges.select(*by, "src", "dst").join(lo, [*by, "src"]).join(hi, [*by, "dst"])
@@ -73,7 +74,7 @@ def degree_pairs(edges: DataFrame, key: Key = GRAPH, pool: Key = GRAPH) -> DataF
     """
     by, kept = names(key), names(pool)
     extra = [c for c in kept if c not in by]
-    deg = degree(edges, key)
+    deg = stage(degree(edges, key)).df
     ends = edges.select(*by, *extra, "src", "dst")
     for end, name in (("src", "_a"), ("dst", "_b")):
         side = deg.select(*by, F.col("node").alias(end), F.col("degree").alias(name))

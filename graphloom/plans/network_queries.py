@@ -198,9 +198,26 @@ def _(spark, sf):
     return out.select("run_id", "generation", "order_id", "part_id", "line", "cluster")
 
 
-@query("random_walks")
+@query(
+    "random_walks",
+    with_views(
+        """WITH RECURSIVE adj AS (SELECT graph_id, u, w, row_number() OVER (PARTITION BY graph_id, u ORDER BY w) - 1 AS i FROM both_ways),
+           walk_state(graph_id, walk, start, node, step, path) AS (
+             SELECT graph_id, UNNEST([0, 1]), node, node, 0, CAST(node AS VARCHAR) FROM degrees
+             UNION ALL
+             SELECT s.graph_id, s.walk, s.start, a.w, s.step + 1, s.path || '>' || a.w FROM walk_state s
+             JOIN degrees d ON d.graph_id = s.graph_id AND d.node = s.node
+             JOIN adj a ON a.graph_id = s.graph_id AND a.u = s.node
+               AND a.i = CAST('0x' || substr(md5('1-' || (s.step + 1) || '-' || s.graph_id || '-' || s.start || '-' || s.walk), 1, 8) AS BIGINT) % d.degree
+             WHERE s.step < 19)
+           SELECT graph_id, CAST(walk AS INTEGER) AS walk, start, path FROM walk_state WHERE step = 19""",
+        "both_ways",
+        "degrees",
+    ),
+)
 def _(spark, sf):
-    return ft.random_walks(simple_edges(spark, sf), length=20, walks=2)
+    walks = ft.random_walks(simple_edges(spark, sf), length=20, walks=2)
+    return walks.withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
 
 
 @query("walk_embedding")

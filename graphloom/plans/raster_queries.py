@@ -217,7 +217,18 @@ def _(spark, sf):
     return t.groupBy("image_id", "tile").agg(F.count(F.lit(1)).alias("n"), r(F.sum("v"), 4).alias("total"))
 
 
-@query("random_tiles")
+@query(
+    "random_tiles",
+    with_views(
+        """WITH d AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM raster GROUP BY ALL),
+           o AS (SELECT image_id, x AS tile_x, y AS tile_y FROM raster JOIN d USING (image_id)
+             WHERE x <= w - 8 AND y <= h - 8 AND NOT (x % 8 = 0 AND y % 8 = 0)
+             QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY md5('3-' || image_id || '-' || x || '-' || y), x, y) <= 15)
+           SELECT r.image_id, x, y, v, tile_x, tile_y, tile_x || '_' || tile_y AS tile FROM raster r JOIN o USING (image_id)
+           WHERE x >= tile_x AND x < tile_x + 8 AND y >= tile_y AND y < tile_y + 8""",
+        "raster",
+    ),
+)
 def _(spark, sf):
     pix = raster(spark, sf)
     fixed = rs.tile_grid(pix, 8, 8).select("image_id", "tile_x", "tile_y").distinct()

@@ -30,7 +30,7 @@ def _(spark, sf):
 @query(
     "merge_close_nodes",
     with_views(
-        """SELECT graph_id, count(*) AS n_nodes, 0 AS close_survivors, 0 AS far_removed, 0 AS lost_edges
+        """SELECT graph_id, count(*) AS n_nodes, CAST(0 AS BIGINT) AS close_survivors, CAST(0 AS BIGINT) AS far_removed, CAST(0 AS BIGINT) AS lost_edges
            FROM points GROUP BY ALL""",
         "points",
     ),
