@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import Key, names
+from ..functions.keys import Key, join_stats, names
 from ..staging import release, stage, stage_counting
 from .tables import GRAPH, endpoints
 
@@ -93,7 +93,7 @@ def largest_component(labels: DataFrame, key: Key = GRAPH) -> DataFrame:
         .groupBy(*by)
         .agg(F.max_by("component", F.struct(F.col("size"), -F.col("component"))).alias("component"))
     )
-    return labels.join(top, [*by, "component"], "left_semi").select(*by, "node")
+    return join_stats(labels, top, [*by, "component"], "left_semi").select(*by, "node")
 
 
 def keep_nodes(edges: DataFrame, nodes: DataFrame, key: Key = GRAPH) -> DataFrame:

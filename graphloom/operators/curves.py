@@ -107,7 +107,8 @@ def score_candidates(
     """Fitness of every candidate's mean curve against the reference; 0 where there is no curve."""
     by = names(key)
     means = ensemble_mean_curve(curves, key).withColumnRenamed("mean_s", "a")
-    paired = means.join(reference.select("beta_idx", F.col("s").alias("b")), "beta_idx")
+    # the reference has one row per grid point
+    paired = means.join(F.broadcast(reference.select("beta_idx", F.col("s").alias("b"))), "beta_idx")
     scored = curve_sse(paired, key)
     return candidates.select(*by).distinct().join(scored, by, "left").select(
         *by, F.coalesce("fitness", F.lit(0.0)).alias("fitness")

@@ -387,7 +387,7 @@ def angular_edge_weights(
     """
     by = names(key)
     mean_d = regions.groupBy(*by).agg(F.avg("equivalent_diameter").alias("_d"))
-    side = pairs.select(*by, "src", "dst").join(mean_d, by)
+    side = join_stats(pairs.select(*by, "src", "dst"), mean_d, by)
     for end in ("src", "dst"):
         cols = regions.select(
             *by,

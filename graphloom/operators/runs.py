@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import Key, attach_stats, names
+from ..functions.keys import Key, attach_stats, join_stats, names
 from ..staging import stage
 
 RUN = "run_id"
@@ -56,7 +56,7 @@ def converged_runs(curves: DataFrame, value: str, threshold: float, n: int = 5,
 
 
 def keep_runs(df: DataFrame, runs: DataFrame) -> DataFrame:
-    return df.join(runs, [RUN], "left_semi")
+    return join_stats(df, runs, [RUN], "left_semi")
 
 
 def conditional_trajectory(top: DataFrame, mask: Column, value: str) -> DataFrame:
@@ -234,7 +234,7 @@ def select_peak_solutions(df: DataFrame, peaks: DataFrame, value: str = "fitness
         lambda p: F.col(value).between(p["mean"] - F.sqrt(p["variance"]), p["mean"] + F.sqrt(p["variance"])),
     )
     if by:
-        both = df.join(bands, by)
+        both = join_stats(df, bands, by)
     else:
         both = df.withColumn("_one", F.lit(1)).join(F.broadcast(bands.withColumn("_one", F.lit(1))), "_one").drop("_one")
     return both.withColumn("peak", F.explode(F.transform(hit, lambda p: p["peak"]))).drop("_peaks")
@@ -284,10 +284,10 @@ def bootstrap_var_of_mean(means: DataFrame) -> DataFrame:
 
 
 def bootstrap_curve_mse(mean_curves: DataFrame, population: DataFrame, grid: str = "beta_idx") -> DataFrame:
-    """Mean squared gap between every sample's mean curve and the population's."""
+    """Mean squared gap between every sample's mean curve and the population's, a row per grid point."""
     gap = F.col("mean") - F.col("pop")
     return (
-        mean_curves.join(population.select(grid, "pop"), grid)
+        mean_curves.join(F.broadcast(population.select(grid, "pop")), grid)
         .groupBy("size", "rep")
         .agg(F.avg(gap * gap).alias("mse"))
     )

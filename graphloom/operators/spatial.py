@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import Key, names
+from ..functions.keys import Key, join_stats, names
 from ..functions.scalars import euclid, scaled_chebyshev
 from ..staging import Staged, release, stage, stage_counting
 from .tables import GRAPH, canonical
@@ -56,7 +56,7 @@ def radius_neighbors(regions: DataFrame, key: Key = "image_id", factor: float =
     """Region pairs closer than sqrt(2) times the mean equivalent diameter of their image."""
     by = names(key)
     reach = regions.groupBy(*by).agg((F.avg("equivalent_diameter") * factor).alias("_r"))
-    return proximity_pairs(regions.join(reach, by), F.col("_r"), key)
+    return proximity_pairs(join_stats(regions, reach, by), F.col("_r"), key)
 
 
 def close_node_map(nodes: DataFrame, eps: float, key: Key = GRAPH) -> DataFrame:

@@ -170,7 +170,7 @@ def filter_by_max_degree(
     edges: DataFrame, threshold: int, key: Key = GRAPH
 ) -> tuple[DataFrame, DataFrame]:
     """Edges of the graphs below the threshold, and the percentage of graphs removed."""
-    flags = max_degree_flags(edges, threshold, key)
+    flags = stage(max_degree_flags(edges, threshold, key)).df
     kept = edges.join(flags.where("kept").select(*names(key)), names(key), "left_semi")
     removed = flags.agg((F.avg(F.when(F.col("kept"), 0.0).otherwise(1.0)) * 100).alias("pct_removed"))
     return kept, removed

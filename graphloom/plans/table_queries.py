@@ -345,8 +345,9 @@ def _(spark, sf):
 def _(spark, sf):
     c = curves(spark, sf)
     mean = c.groupBy("beta_idx").agg(F.avg("s").alias("s"))
+    # one row per grid point
     paired = c.select("curve_id", "beta_idx", F.col("s").alias("a")).join(
-        mean.select("beta_idx", F.col("s").alias("b")), "beta_idx"
+        F.broadcast(mean.select("beta_idx", F.col("s").alias("b"))), "beta_idx"
     )
     return cv.curve_sse(paired, "curve_id").select("curve_id", r("sse", 5).alias("sse"), r("fitness").alias("fitness"))
 
@@ -391,7 +392,7 @@ def _(spark, sf):
     c = curves(spark, sf)
     mean = c.groupBy("beta_idx").agg(F.avg("s").alias("b"))
     ens = c.groupBy(F.pmod("curve_id", F.lit(10)).alias("ensemble"), "beta_idx").agg(F.avg("s").alias("a"))
-    out = cv.ensemble_fitness_summary(cv.curve_sse(ens.join(mean, "beta_idx"), "ensemble"))
+    out = cv.ensemble_fitness_summary(cv.curve_sse(ens.join(F.broadcast(mean), "beta_idx"), "ensemble"))
     return out.select(*[r(k).alias(k) for k in out.columns])
 
 
