@@ -43,7 +43,7 @@ def _(spark, sf):
 def summary_sql(value, how):
     return with_views(
         f"""WITH t AS (SELECT run_id, generation, {how}({value}) AS v FROM top10 GROUP BY ALL)
-            SELECT generation, {rd('avg(v)', 4)} AS mean, {rd('stddev_pop(v)', 4)} AS std, {rd('stddev_pop(v) / sqrt(count(*))', 4)} AS sem,
+            SELECT generation, {rd('avg(v)', 7)} AS mean, {rd('stddev_pop(v)', 7)} AS std, {rd('stddev_pop(v) / sqrt(count(*))', 7)} AS sem,
               count(*) AS n_runs FROM t GROUP BY ALL""",
         "top10",
     )
@@ -52,7 +52,7 @@ def summary_sql(value, how):
 def summary(spark, sf, value, how):
     t = rn.trajectory(top10(spark, sf), value, how)
     return rn.trajectory_summary(t, value).select(
-        "generation", *[r(c, 4).alias(c) for c in ("mean", "std", "sem")], "n_runs"
+        "generation", *[r(c, 7).alias(c) for c in ("mean", "std", "sem")], "n_runs"
     )
 
 
@@ -206,13 +206,13 @@ def _(spark, sf):
 @query(
     "gaussian_single",
     with_views(
-        f"SELECT generation, CAST(0 AS INTEGER) AS peak, CAST(1 AS DOUBLE) AS weight, {rd('avg(beta)')} AS mean, {rd('var_pop(beta)')} AS variance FROM run_log GROUP BY ALL",
+        f"SELECT generation, CAST(0 AS INTEGER) AS peak, CAST(1 AS DOUBLE) AS weight, {rd('avg(beta)', 9)} AS mean, {rd('var_pop(beta)', 9)} AS variance FROM run_log GROUP BY ALL",
         "run_log",
     ),
 )
 def _(spark, sf):
     out = rn.gaussian_mixture_1d(run_log(spark, sf), "beta", 1, "generation", floor=0.0)
-    return out.select("generation", "peak", r("weight").alias("weight"), r("mean").alias("mean"), r("variance").alias("variance"))
+    return out.select("generation", "peak", r("weight").alias("weight"), r("mean", 9).alias("mean"), r("variance", 9).alias("variance"))
 
 
 @query("gaussian_mixture")
