@@ -206,13 +206,13 @@ def _(spark, sf):
 @query(
     "gaussian_single",
     with_views(
-        f"SELECT generation, CAST(0 AS INTEGER) AS peak, CAST(1 AS DOUBLE) AS weight, {rd('avg(beta)', 9)} AS mean, {rd('var_pop(beta)', 9)} AS variance FROM run_log GROUP BY ALL",
+        f"SELECT generation, CAST(0 AS INTEGER) AS peak, CAST(1 AS DOUBLE) AS weight, {rd('avg(beta)', 9)} AS mean, {rd('var_pop(beta)', 12)} AS variance FROM run_log GROUP BY ALL",
         "run_log",
     ),
 )
 def _(spark, sf):
     out = rn.gaussian_mixture_1d(run_log(spark, sf), "beta", 1, "generation", floor=0.0)
-    return out.select("generation", "peak", r("weight").alias("weight"), r("mean", 9).alias("mean"), r("variance", 9).alias("variance"))
+    return out.select("generation", "peak", r("weight").alias("weight"), r("mean", 9).alias("mean"), r("variance", 12).alias("variance"))
 
 
 @query("gaussian_mixture")
