@@ -7,7 +7,6 @@ its file sizes give the optimizer true statistics for the next round's joins.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from typing import NamedTuple
 
@@ -21,17 +20,9 @@ class Staged(NamedTuple):
 
 
 def checkpoint_root(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``, else one in the session's warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    sc = spark.sparkContext
-    root = sc.getCheckpointDir()
-    if root is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
-        root = sc.getCheckpointDir()
-    return root
+    return root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staging"
 
 
 def stage(df: DataFrame) -> Staged:

@@ -9,8 +9,8 @@ from graphloom.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, memory="8g")
+def spark(tmp_path_factory):
+    session = local_session(8, memory="8g", shared=str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 
