@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import quality_rules as rules
+from .packing import pack
 from .registry import query, table
 
 QUALITY_COLUMNS = ["doc_id", *rules.COUNTS, "base_failed", "kept"]
@@ -42,3 +43,11 @@ SELECT *, {rules.base_sql()} AS base_failed, {rules.kept_sql()} AS kept FROM cou
 @query("op3_quality_rules", QUALITY_SQL)
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*QUALITY_COLUMNS)
+
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op5_best_fit_packing")
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), WORD_BPE)
