@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import quality_rules as rules
 from .label_model import classify
+from .order_minhash import near_duplicates
 from .packing import pack
 from .registry import query, table
 
@@ -57,3 +58,8 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_quality_classifier")
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"))
+
+
+@query("op9_order_minhash")
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
