@@ -9,6 +9,7 @@ from . import quality_rules as rules
 from .label_model import classify
 from .order_minhash import near_duplicates
 from .packing import pack
+from .passages import passages
 from .registry import query, table
 
 QUALITY_COLUMNS = ["doc_id", *rules.COUNTS, "base_failed", "kept"]
@@ -63,3 +64,8 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_order_minhash")
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op1_substring_dedup")
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(table(spark, sf_dir, "documents"))
