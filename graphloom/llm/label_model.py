@@ -247,6 +247,15 @@ def train(
     return model, np.frombuffer(rows[0]["weights"]) if rows else np.zeros(dimensions + 1)
 
 
+def score(column: pa.Array, weights: np.ndarray, model: LabelModel) -> tuple[np.ndarray, ...]:
+    """Words, label posterior and score of a slice of texts; the score of a text without words is 0."""
+    rows = len(column)
+    f = features(column, len(weights) - 1)
+    margin = np.bincount(f.row, weights[f.bucket] * f.count, minlength=rows) + weights[-1]
+    value = np.where(f.n_words > 0, 1 / (1 + np.exp(-np.clip(margin, -500, 500))), 0.0)
+    return f.n_words, model.posterior(f.votes), value
+
+
 def classify(
     docs: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS, threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -261,18 +270,33 @@ def classify(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
-                f = features(batch.column(1).slice(lo, hi - lo), dimensions)
-                margin = np.bincount(f.row, weights[f.bucket] * f.count, minlength=hi - lo) + weights[-1]
-                score = np.where(f.n_words > 0, 1 / (1 + np.exp(-np.clip(margin, -500, 500))), 0.0)
+                n, posterior, value = score(batch.column(1).slice(lo, hi - lo), weights, model)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
-                        pa.array(f.n_words, pa.int64()),
-                        pa.array(model.posterior(f.votes)),
-                        pa.array(score),
-                        pa.array((score >= threshold) & (f.n_words > 0)),
+                        pa.array(n, pa.int64()),
+                        pa.array(posterior),
+                        pa.array(value),
+                        pa.array((value >= threshold) & (n > 0)),
                     ],
                     names=["doc_id", "n_words", "posterior", "score", "kept"],
                 )
 
     return docs.mapInArrow(run, "doc_id long, n_words long, posterior double, score double, kept boolean")
+
+
+def good_documents(
+    docs: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS, threshold: float = THRESHOLD
+) -> DataFrame:
+    """The rows that ``classify`` keeps, with all their columns and without a join."""
+    model, weights = train(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), sample, dimensions)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in slices(batch.column(at)):
+                part = batch.slice(lo, hi - lo)
+                n, _, value = score(part.column(at), weights, model)
+                yield part.filter(pa.array((value >= threshold) & (n > 0)))
+
+    return docs.mapInArrow(run, docs.schema)

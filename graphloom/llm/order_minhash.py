@@ -245,3 +245,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = sketched.join(of_text, "digest").select("doc_id", "class_id", "n_links")
     none = docs.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long"), F.lit(0).cast("long"))
     return out.unionAll(none)
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of the smallest id of each class, one row for an id; rows without an id stay."""
+    found = near_duplicates(docs)
+    gone = stage(found.where("doc_id <> class_id").select("doc_id").distinct()).df
+    repeated = stage(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL")).df
+    left = docs.join(gone, "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return left
+    ids = repeated.select("doc_id")
+    once = left.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(ids, "doc_id", "left_anti").unionByName(once).select(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import stage
-from .order_minhash import banded_matches
+from .order_minhash import banded_matches, labelled
 from .text import shingles, slices, words
 
 SHINGLE = 5
@@ -60,7 +60,7 @@ def winnow(value: np.ndarray, row: np.ndarray, window: int = WINDOW) -> np.ndarr
 
 
 def seed_table(docs: DataFrame) -> DataFrame:
-    """Seeds of (doc_id, text) with the word they begin at, and whether it is the document's first such."""
+    """Seeds of (doc_id, text) with the word they begin at, and whether it can be a source's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,9 +71,16 @@ def seed_table(docs: DataFrame) -> DataFrame:
                 value, row, pos = value[long], row[long], pos[long]
                 at = winnow(value, row)
                 value, row, pos = value[at], row[at], pos[at]
+                # a seed that the text repeats is also looked up under the number of its occurrence: in
+                # periodic texts only these ascend in both
+                numbered = labelled(value, row)
                 order = np.lexsort((value, row))
                 first = np.ones(len(at), bool)
                 first[order[1:]] = (value[order][1:] != value[order][:-1]) | (row[order][1:] != row[order][:-1])
+                again = ~first
+                value = np.concatenate([value, numbered[again]])
+                row, pos = np.concatenate([row, row[again]]), np.concatenate([pos, pos[again]])
+                first = np.concatenate([first, np.ones(again.sum(), bool)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(value.view(np.int64)),
