@@ -11,15 +11,14 @@ from graphloom.llm.label_model import good_documents
 from graphloom.llm.order_minhash import without_near_duplicates
 from graphloom.llm.packing import pack
 from graphloom.llm.passages import passages, without_passages
-from graphloom.llm.quality_rules import quality_rules
+from graphloom.llm.quality_rules import passing
 from graphloom.staging import stage
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    row = docs.select("text", F.struct(*docs.columns).alias("_row"))
-    return quality_rules(row).where("kept").select("_row.*")
+    return passing(docs)
 
 
 def keep_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

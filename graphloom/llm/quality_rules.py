@@ -143,3 +143,16 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     mine = [*COUNTS, "base_failed", "kept"]
     rest = docs.drop(*[c for c in mine if c != text])
     return measure(rest, text).withColumns({"base_failed": F.expr(base_sql()), "kept": F.expr(kept_sql(rules))})
+
+
+def passing(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows that keep all rules, with their own columns only.
+
+    The verdict is tied to a value that is not deterministic, so that the optimizer does not push the filter
+    below the projections and copy their expressions into each other's lambdas.
+    """
+    row = docs.select(F.col(text).alias("text"), F.struct(*docs.columns).alias("_row"))
+    judged = quality_rules(row, "text", rules).select(
+        "_row", (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("_kept")
+    )
+    return judged.where("_kept").select("_row.*")
