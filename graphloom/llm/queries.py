@@ -11,6 +11,7 @@ from .order_minhash import near_duplicates
 from .packing import pack
 from .passages import passages
 from .registry import query, table
+from .warc_zip import REVISIT_BYTES, archive_round_trip
 
 QUALITY_COLUMNS = ["doc_id", *rules.COUNTS, "base_failed", "kept"]
 
@@ -63,9 +64,28 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_order_minhash")
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
 
 
 @query("op1_substring_dedup")
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(table(spark, sf_dir, "documents"))
+
+
+WARC_SQL = f"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(COALESCE(html, ''))) AS payload_bytes, sha1(COALESCE(html, '')) AS payload_digest
+  FROM pages
+), m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= {REVISIT_BYTES} AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= {REVISIT_BYTES} AND page_id <> kept THEN kept END AS refers_to
+FROM m
+"""
+
+
+@query("op10_warc", WARC_SQL)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
