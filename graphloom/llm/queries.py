@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import quality_rules as rules
 from .label_model import classify
+from .mtree import top_k
 from .order_minhash import near_duplicates
 from .packing import pack
 from .passages import passages
@@ -89,3 +90,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+SEARCH_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 5
+"""
+
+
+@query("op6_exact_top_k", SEARCH_SQL)
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
