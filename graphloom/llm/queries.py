@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import quality_rules as rules
+from .html_region import main_text
 from .label_model import classify
 from .mtree import top_k
 from .order_minhash import near_duplicates
@@ -108,3 +109,8 @@ FROM pairs QUALIFY rank <= 5
 @query("op6_exact_top_k", SEARCH_SQL)
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_html_extraction")
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
