@@ -8,15 +8,16 @@ that its worker has not met before.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 
-from .text import words
+from .text import Words, words
 
-WORD_CACHE = 600_000
-PART_CACHE = 300_000
+WORD_CACHE = 1_200_000
+PART_CACHE = 400_000
 
 # Fixed value: the file's own split pattern.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -31,17 +32,10 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
-class WordTokenizer:
-    """Ids by word with a bounded memory of words met so far."""
+class CachedIds:
+    """Ids of whole columns from the ids of their distinct words, with a bounded memory of words met so far."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.letters = _byte_letters()
-        self.parts: dict[str, list[int]] = {}
+    def __init__(self):
         self._forget()
 
     def _forget(self) -> None:
@@ -50,23 +44,16 @@ class WordTokenizer:
         self.size = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
 
-    def word_ids(self, word: str) -> list[int]:
-        if not _PLAIN.fullmatch(word) or ("<|" in word and any(s in word for s in self.special)):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
-        for part in _PARTS.findall(word.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                if len(self.parts) >= PART_CACHE:
-                    self.parts.clear()
-                shown = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
-                ids = self.parts[part] = [t.id for t in self.model.tokenize(shown)]
-            out += ids
-        return out
+    def cut(self, column: pa.Array) -> Words:
+        return words(column)
+
+    def compute(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and all their ids one after the other."""
+        raise NotImplementedError
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after the other, and where each row's begin (one more at the end)."""
-        w = words(column)
+        w = self.cut(column)
         key, one, back = np.unique(w.hash, return_index=True, return_inverse=True)
         slot = np.searchsorted(self.keys, key)
         known = np.zeros(len(key), bool)
@@ -78,13 +65,11 @@ class WordTokenizer:
                 known[:] = False
             new = np.flatnonzero(~known)
             data = w.data.tobytes()
-            ids = [
-                self.word_ids(data[a:b].decode("utf-8", "replace"))
-                for a, b in zip(w.start[one[new]].tolist(), w.end[one[new]].tolist(), strict=True)
-            ]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            size, flat = self.compute(
+                [data[a:b] for a, b in zip(w.start[one[new]].tolist(), w.end[one[new]].tolist(), strict=True)]
+            )
             at = len(self.pool) + np.cumsum(size) - size
-            self.pool = np.concatenate([self.pool, np.fromiter((x for y in ids for x in y), np.int32, size.sum())])
+            self.pool = np.concatenate([self.pool, flat])
             keys = np.concatenate([self.keys, key[new]])
             order = np.argsort(keys, kind="stable")
             self.keys = keys[order]
@@ -93,8 +78,40 @@ class WordTokenizer:
             slot = np.searchsorted(self.keys, key)
         size, at = self.size[slot][back], self.at[slot][back]
         total = np.concatenate([[0], np.cumsum(size)])
-        flat = self.pool[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
-        return flat, total[w.first]
+        return self.pool[np.repeat(at - total[:-1], size) + np.arange(total[-1])], total[w.first]
+
+
+class WordTokenizer(CachedIds):
+    """Ids by white-space words of a byte-level BPE file."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = _byte_letters()
+        self.parts: dict[str, list[int]] = {}
+
+    def word_ids(self, word: str) -> list[int]:
+        if not _PLAIN.fullmatch(word) or ("<|" in word and any(s in word for s in self.special)):
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        out: list[int] = []
+        for part in _PARTS.findall(word.lower()):
+            ids = self.parts.get(part)
+            if ids is None:
+                if len(self.parts) >= PART_CACHE:
+                    self.parts.clear()
+                shown = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
+                ids = self.parts[part] = [t.id for t in self.model.tokenize(shown)]
+            out += ids
+        return out
+
+    def compute(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self.word_ids(w.decode("utf-8", "replace")) for w in new]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return size, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
 
 
 @lru_cache(maxsize=1)
