@@ -172,6 +172,20 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, n_a long, n_b long, distance long, linked boolean")
 
 
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of (doc_id, text): the labelled shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in slices(batch.column(1)):
+                value, row, _ = shingles(words(batch.column(1).slice(lo, hi - lo)), SHINGLE)
+                at = np.searchsorted(row, np.arange(hi - lo + 1))
+                sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(labelled(value, row).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], names=["doc_id", "shingles"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+
+
 def _classes(links: DataFrame) -> DataFrame:
     edges = links.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     found = connected_components(edges, key=None)
@@ -182,14 +196,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Every row's doc_id with ``class_id``, the smallest id of its class, and ``n_links``.
 
     Exact copies fall together by digest and only one of them is sketched further. In each bucket of equal
-    sketches all members are aligned with one centre; then, where a bucket still holds several classes,
-    every pair across classes that the distances to the centre do not rule out (they are a metric) is
-    aligned too. So no link between candidates is lost and a large group of copies makes no pairs.
+    sketches all members are aligned with one centre, the member that shares the most sketches with others;
+    then, where a bucket still holds several classes, every pair across classes is weighed inside the join:
+    what the lengths, the distances to the centre (they are a metric) or the shingles in common rule out
+    makes no row, and what is left is aligned too. So no link between candidates is lost and a large group
+    of copies makes no pairs.
     ``n_links`` counts the verified links of the row's text to other texts.
 
     Texts of fewer than five words are one shingle. Texts without words are near no other text, but empty
-    ones are copies of each other; a null text is a class of its own. Rows that share an id share a class;
-    a null id has a null class. An empty table gives no rows; other columns are not carried.
+    ones are copies of each other; a null text is a class of its own. Rows that share an id are classed each
+    by its own text; a null id has a null class. ``digest`` tells which text a row had. An empty table gives no rows; other columns are not carried.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     known = docs.where(F.col("doc_id").isNotNull())
@@ -198,10 +214,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     ).df
     keyed = reps.select("rep", F.explode("sketch").alias("key")).distinct()
-    shared = stage(
-        keyed.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    ).df
-    members = stage(keyed.join(shared.select("key", "centre"), "key")).df
+    shared = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")).df
+    bucketed = stage(keyed.join(shared, "key")).df
+    weight = stage(bucketed.groupBy("rep").agg(F.sum("n").alias("weight"))).df
+    heaviest = F.max_by("rep", F.struct(F.col("weight"), -F.col("rep"))).alias("centre")
+    centres = stage(bucketed.join(weight, "rep").groupBy("key").agg(heaviest)).df
+    members = stage(bucketed.select("key", "rep").join(centres, "key")).df
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = stage(known.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))).df
     stars = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
@@ -214,16 +232,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     measured = stage(measured).df
     split = measured.groupBy("key").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo < hi")
-    open_ = stage(measured.join(split.select("key"), "key", "left_semi")).df
-    x, y = open_.alias("x"), open_.alias("y")
+    left_open = stage(measured.join(split.select("key"), "key", "left_semi")).df
+    ids = left_open.select(F.col("rep").alias("doc_id")).distinct()
+    contents = stage(shingle_sets(texts.join(ids, "doc_id", "left_semi"))).df
+    left_open = left_open.join(contents.withColumnRenamed("doc_id", "rep"), "rep")
+    x, y = left_open.alias("x"), left_open.alias("y")
     n, gap = F.col("x.n") + F.col("y.n"), F.lit((1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9)
+    common = F.size(F.array_intersect("x.shingles", "y.shingles"))
     across = (
         x.join(
             y,
             (F.col("x.key") == F.col("y.key"))
             & (F.col("x.class_id") < F.col("y.class_id"))
             & (F.abs(F.col("x.n") - F.col("y.n")) <= n * gap)
-            & (F.abs(F.col("x.distance") - F.col("y.distance")) <= n * gap),
+            & (F.abs(F.col("x.distance") - F.col("y.distance")) <= n * gap)
+            & (common * (1 + SIMILARITY) >= n * SIMILARITY),
         )
         .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
         .distinct()
@@ -241,20 +264,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .join(degree, "rep", "left")
         .select("digest", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     ).df
-    # rows of one id may differ in text: the smallest class of its texts holds for all of them
-    out = sketched.join(of_text, "digest").select("doc_id", "class_id", "n_links")
-    none = docs.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long"), F.lit(0).cast("long"))
+    out = sketched.join(of_text, "digest").select("doc_id", "class_id", "n_links", "digest")
+    none = docs.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long"), F.lit(0).cast("long"), F.md5("text"))
     return out.unionAll(none)
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of the smallest id of each class, one row for an id; rows without an id stay."""
-    found = near_duplicates(docs)
-    gone = stage(found.where("doc_id <> class_id").select("doc_id").distinct()).df
+    """The rows of the smallest id of each class, repeated rows once; rows without an id stay."""
+    found = stage(near_duplicates(docs)).df
+    gone = found.where("doc_id <> class_id").select("doc_id", F.col("digest").alias("_digest")).distinct()
     repeated = stage(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL")).df
-    left = docs.join(gone, "doc_id", "left_anti")
+    left = docs.withColumn("_digest", F.md5("text")).join(stage(gone).df, ["doc_id", "_digest"], "left_anti").select(*docs.columns)
     if repeated.isEmpty():
         return left
     ids = repeated.select("doc_id")
-    once = left.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    once = left.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return left.join(ids, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
