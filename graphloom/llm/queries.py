@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_rules as rules
+from .cross_entropy import score_documents
 from .html_region import main_text
 from .label_model import classify
 from .mtree import top_k
@@ -130,3 +131,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(counted, PIECES).select(
         "doc_id", "n_pieces", "ids_crc32", F.md5("decoded").alias("decoded_md5"), (F.col("decoded") == read_back).alias("restored")
     )
+
+
+@query("op2_lm_scoring")
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what the labels call good and not toxic."""
+    good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
+    return score_documents(table(spark, sf_dir, "documents"), good)
