@@ -26,6 +26,8 @@ SAMPLE = 8_000
 #: Below a half: a clean text that is lost costs more than a poor one that stays.
 THRESHOLD = 0.3
 EPOCHS = 30
+#: A small sample is passed more often, up to this number of steps.
+STEPS = 900
 RATE = 0.5
 PENALTY = 1e-5
 
@@ -195,8 +197,9 @@ def fit_scorer(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], dimension
     value = np.concatenate([v for _, v, _ in parts]) if parts else np.zeros(0)
     at = np.concatenate([[0], np.cumsum(size)]).astype(int)
     step = 256
-    for epoch in range(EPOCHS):
-        rate = RATE * step / 16 / (1 + epoch / 5)
+    epochs = max(EPOCHS, STEPS * step // max(1, len(parts)))
+    for epoch in range(epochs if parts else 0):
+        rate = RATE * step / 16 / (1 + 6 * epoch / epochs)
         shuffled = order.permutation(len(parts))
         for lo in range(0, len(parts), step):
             pick = shuffled[lo : lo + step]
