@@ -144,7 +144,8 @@ def read_members(file, size: int) -> dict[str, Member]:
     tail_at = max(0, size - (LIMIT16 + 22))
     tail = file.read_at(size - tail_at, tail_at)
     end = tail.rfind(b"PK\5\6")
-    while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
+    # the same bytes in a comment are no end: a comment's length must lead to the end of the file
+    while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
         end = tail.rfind(b"PK\5\6", 0, end)
     if end < 0:
         raise ValueError("no end of a ZIP directory")
