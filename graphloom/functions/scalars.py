@@ -147,3 +147,8 @@ def linear_grid(lo: float, hi: float, n: int) -> list[float]:
 
 def literal_array(values: list[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
+
+
+def mapped(x: Column, low: Column, high: Column, to_low: Column, to_high: Column) -> Column:
+    """The affine map that takes ``low`` to ``to_low`` and ``high`` to ``to_high``; null where both are one."""
+    return to_low + F.try_divide((x - low) * (to_high - to_low), high - low)

@@ -1,8 +1,9 @@
 """Per-graph dense linear algebra on small graphs, many graphs per Arrow batch.
 
 Rows are shuffled once by graph and sorted, so each task streams whole graphs. Graphs of equal size
-are stacked and solved together. Graphs of more than ``max_nodes`` nodes never enter a block: callers
-route them to the join-based forms, so a task holds a bounded matrix whatever the data.
+are stacked and solved together. These are the forms for corpora of small graphs: a task holds a few matrices
+of n x n entries for a graph of n nodes. For large graphs the callers have forms by joins under their own
+names; no size decides between the two.
 """
 
 from __future__ import annotations
@@ -12,42 +13,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.keys import Key, join_stats, names, spread_by
-from ..staging import stage
-from .tables import GRAPH, graph_size
+from ..functions.keys import Key, names, spread_by
+from .tables import GRAPH
 
-MAX_NODES = 2000
 STACK_CELLS = 1 << 22
 FRAME_ROWS = 50_000
 
 
-def _fits(max_nodes: int):
-    """Few enough nodes, and no more edges than a simple graph of that many nodes can have."""
-    return (F.col("n") <= max_nodes) & (F.col("m") <= max_nodes * (max_nodes + 1) // 2)
-
-
-def split_by_size(
-    edges: DataFrame, key: Key = GRAPH, max_nodes: int = MAX_NODES, sizes: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Edges of the graphs with at most ``max_nodes`` nodes, and those of the larger ones."""
-    by = names(key)
-    sizes = graph_size(edges, key) if sizes is None else sizes
-    marked = join_stats(edges, sizes.select(*by, _fits(max_nodes).alias("_small")), by)
-    return marked.where("_small").drop("_small"), marked.where("not _small").drop("_small")
-
-
-def bounded(edges: DataFrame, key: Key = GRAPH, max_nodes: int = MAX_NODES) -> DataFrame:
-    """The same edges, failing the job when a graph is too large for a dense block."""
-    by = names(key)
-    limit = F.when(_fits(max_nodes), F.lit(True)).otherwise(
-        F.raise_error(F.lit(f"graph above {max_nodes} nodes: use the join-based form")).cast("boolean")
-    )
-    sizes = stage(graph_size(edges, key)).df
-    return edges.join(sizes.select(*by, limit.alias("_fits")), by).where("_fits").drop("_fits")
-
-
 def _changes(frame: pd.DataFrame, by: list[str]) -> np.ndarray:
     """True where a row starts another group than the row before it."""
     fresh = np.zeros(len(frame), bool)
@@ -134,7 +107,7 @@ def stacks(frame: pd.DataFrame, by: list[str]) -> Iterator[Stack]:
 def map_blocks(
     edges: DataFrame, solve: Callable[[Stack], pd.DataFrame], schema: str, key: Key = GRAPH
 ) -> DataFrame:
-    """Apply ``solve`` to stacks of whole graphs. ``edges`` must hold bounded graphs only."""
+    """Apply ``solve`` to stacks of whole graphs."""
     by = names(key)
     cols = [*by, "src", "dst"] + (["weight"] if "weight" in edges.columns else [])
 

@@ -26,12 +26,14 @@ def pair_curves(a: DataFrame, b: DataFrame, on: Key, value: str = "s") -> DataFr
 
 
 def curve_sse(paired: DataFrame, key: Key = None) -> DataFrame:
-    """Sum of squared differences and fitness 1 / sse."""
+    """Sum of squared differences and fitness 1 / sse, infinite for a perfect match."""
     gap = F.col("a") - F.col("b")
     return (
         paired.groupBy(*names(key))
         .agg(F.sum(gap * gap).alias("sse"))
-        .withColumn("fitness", F.when(F.col("sse") > 0, 1.0 / F.col("sse")))
+        .withColumn(
+            "fitness", F.when(F.col("sse") == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.lit(1.0), F.col("sse")))
+        )
     )
 
 
@@ -102,13 +104,23 @@ def specific_heat_logdiff(df: DataFrame, value: str, order: str, x: str, key: Ke
 
 
 def score_candidates(
-    curves: DataFrame, reference: DataFrame, candidates: DataFrame, key: Key = "candidate_id"
+    curves: DataFrame, reference: DataFrame, candidates: DataFrame, key: Key = "candidate_id", gradient: bool = False
 ) -> DataFrame:
-    """Fitness of every candidate's mean curve against the reference; 0 where there is no curve."""
+    """Fitness of every candidate's mean curve against the whole grid of the reference.
+
+    A grid point that a candidate lacks counts as a curve of zero there; a candidate without any curve has
+    fitness 0. ``gradient`` compares the slopes of both curves along the grid instead of their values.
+    """
     by = names(key)
-    means = ensemble_mean_curve(curves, key).withColumnRenamed("mean_s", "a")
-    # the reference has one row per grid point
-    paired = means.join(F.broadcast(reference.select("beta_idx", F.col("s").alias("b"))), "beta_idx")
+    means = ensemble_mean_curve(curves, key).select(*by, "beta_idx", F.col("mean_s").alias("a"))
+    grid = reference.select("beta_idx", F.col("s").alias("b"))
+    known = means.select(*by).distinct()
+    # the grid has one row a point, fixed by the caller
+    full = known.withColumn("_grid", F.lit(1)).join(grid.withColumn("_grid", F.lit(1)), "_grid").drop("_grid")
+    paired = full.join(means, [*by, "beta_idx"], "left").withColumn("a", F.coalesce("a", F.lit(0.0)))
+    if gradient:
+        order = Window.partitionBy(*by).orderBy("beta_idx")
+        paired = paired.withColumns({c: F.col(c) - F.lag(c).over(order) for c in ("a", "b")}).where("a IS NOT NULL")
     scored = curve_sse(paired, key)
     return candidates.select(*by).distinct().join(scored, by, "left").select(
         *by, F.coalesce("fitness", F.lit(0.0)).alias("fitness")

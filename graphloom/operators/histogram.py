@@ -42,9 +42,9 @@ def _fill(counts: DataFrame, ranges: DataFrame, by: list[str], bins: int) -> Dat
         (F.col("_lo") + F.col("bin") * step).alias("left_edge"),
         F.when(F.col("bin") == bins - 1, F.col("_hi")).otherwise(F.col("_lo") + (F.col("bin") + 1) * step).alias("right_edge"),
         n.alias("n"),
-        (n / F.sum(n).over(whole)).alias("pdf"),
-        ((F.sum(n).over(upto) - n) / F.sum(n).over(whole)).alias("cdf_left"),
-        (F.sum(n).over(upto) / F.sum(n).over(whole)).alias("cdf"),
+        F.try_divide(n, F.sum(n).over(whole)).alias("pdf"),
+        F.try_divide(F.sum(n).over(upto) - n, F.sum(n).over(whole)).alias("cdf_left"),
+        F.try_divide(F.sum(n).over(upto), F.sum(n).over(whole)).alias("cdf"),
     )
 
 
@@ -68,7 +68,8 @@ def empirical_pdf_cdf(
 
     ``limits`` fixes the range: a pair of numbers, or a table ``(_lo, _hi)`` with all or none of the
     key columns; by default each group spans its own values. Rows are counted per bin before any
-    exchange, so only ``bins`` rows per group and task are shuffled.
+    exchange, so only ``bins`` rows per group and task are shuffled. Masses of a group without a value in
+    its range are null.
     """
     by = names(key)
     if limits is None:

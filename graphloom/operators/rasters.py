@@ -410,17 +410,15 @@ def angular_edge_weights(
             "_back": F.degrees(F.atan2(-dy, -dx)) + 180.0,
         }
     )
-    step, top, bottom = 360.0 / bins, 360.0, 360.0 / bins
+    step = 360.0 / bins
 
     def mass(pdf: str, gamma: str) -> Column:
         g, a = F.col(gamma), F.col("_half")
 
         def inside(edge):
-            return (
-                F.when(g + a > top, (edge < g + a - top) | (edge >= g - a))
-                .when(g - a < bottom, (edge <= g + a) | (edge > top - (a - g)))
-                .otherwise((edge < g + a) & (edge >= g - a))
-            )
+            # signed angle from the direction to the edge, in [-180, 180)
+            off = F.pmod(edge - g + 180.0, F.lit(360.0)) - 180.0
+            return (off >= -a) & (off < a)
 
         part = F.transform(pdf, lambda v, i: F.when(inside((i + 1) * step), v).otherwise(0.0))
         return F.aggregate(part, F.lit(0.0), lambda s, v: s + v)

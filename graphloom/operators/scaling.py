@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import Key, attach_stats, join_stats, names
-from ..functions.scalars import order_of_magnitude
+from ..functions.scalars import mapped, order_of_magnitude
 from ..staging import release, stage
 
 
 def minmax_scale(df: DataFrame, col: str, lo: float = -1.0, hi: float = 1.0, key: Key = None, out: str | None = None):
     """Affine map of each group's range onto [lo, hi]; null where a group has a single value."""
     both = attach_stats(df, key, [F.min(col).alias("_lo"), F.max(col).alias("_hi")])
-    a, b = F.col("_lo"), F.col("_hi")
-    scaled = F.try_divide(F.col(col) - (b + a) / 2, b - a) * (hi - lo) + (hi + lo) / 2
+    scaled = mapped(F.col(col), F.col("_lo"), F.col("_hi"), F.lit(lo), F.lit(hi))
     return both.withColumn(out or col, scaled).drop("_lo", "_hi")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions.keys import Key, names
 from ..functions.scalars import literal_array, log_grid
 from ..staging import release, stage
-from .blocks import MAX_NODES, Stack, bounded, key_schema, map_blocks, split_by_size, spread
+from .blocks import Stack, key_schema, map_blocks, spread
 from .tables import GRAPH, degree, endpoints
 
 CELLS = 1 << 22  # matrix entries held at a time
@@ -32,8 +32,12 @@ def beta_grid(spark, lo: float = BETA_GRID[0], hi: float = BETA_GRID[1], n: int
     )
 
 
-def dense_spectrum(edges: DataFrame, key: Key = GRAPH) -> DataFrame:
-    """Exact Laplacian spectrum of graphs known to be small."""
+def laplacian_spectrum(edges: DataFrame, key: Key = GRAPH, nodes: DataFrame | None = None) -> DataFrame:
+    """Exact Laplacian spectrum of every graph, whatever its size; a task holds n x n entries of a graph.
+
+    ``nodes`` (key, node) may name isolated nodes: each adds an eigenvalue of zero. For single large graphs there
+    is :func:`quadrature_spectrum`, whose entries are not eigenvalues and must not be ranked.
+    """
 
     def solve(stack: Stack) -> pd.DataFrame:
         values = np.linalg.eigvalsh(stack.laplacian())
@@ -42,23 +46,22 @@ def dense_spectrum(edges: DataFrame, key: Key = GRAPH) -> DataFrame:
         out["lambdas"] = list(values)
         return out
 
+    by = names(key)
     spectrum = map_blocks(edges, solve, f"{key_schema(edges, key)}, n long, lambdas array<double>", key)
+    if nodes is not None:
+        ends = endpoints(edges, key).select(*by, "node").distinct()
+        lone = nodes.select(*by, "node").distinct().join(ends, [*by, "node"], "left_anti")
+        counts = lone.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("_lone"))
+        more = F.coalesce("_lone", F.lit(0))
+        zeros = F.array_repeat(F.lit(0.0), more)
+        spectrum = spectrum.join(counts, by, "full").select(
+            *by,
+            (F.coalesce("n", F.lit(0)) + more).alias("n"),
+            F.array_sort(F.concat(zeros, F.coalesce("lambdas", F.array().cast("array<double>")))).alias("lambdas"),
+        )
     return spectrum.withColumn("weights", F.array_repeat(F.lit(1.0), F.col("n").cast("int")))
 
 
-def laplacian_spectrum(
-    edges: DataFrame, key: Key = GRAPH, max_nodes: int = MAX_NODES, steps: int = 30, probes: int = 8
-) -> DataFrame:
-    """Spectra of a corpus of any graph sizes: exact up to ``max_nodes`` nodes, and the weighted
-    quadrature of :func:`quadrature_spectrum` for the graphs above."""
-    small, large = split_by_size(edges, key, max_nodes)
-    cols = [*names(key), "n", "lambdas", "weights"]
-    spectrum = dense_spectrum(small, key).select(*cols)
-    if large.isEmpty():
-        return spectrum
-    return spectrum.unionByName(quadrature_spectrum(large, key, steps, probes).select(*cols))
-
-
 def rank_spectrum(spectrum: DataFrame, key: Key = GRAPH) -> DataFrame:
     """Long form ``(key, rank, lam)``, ascending from rank 0."""
     return spectrum.select(
@@ -197,7 +200,7 @@ def density_matrix(edges: DataFrame, tau: float, key: Key = GRAPH) -> DataFrame:
         return spread(stack, node=stack.nodes, place=place, z=z, rho=rho)
 
     schema = f"{key_schema(edges, key)}, node long, place long, z double, rho array<double>"
-    return map_blocks(bounded(edges, key), solve, schema, key)
+    return map_blocks(edges, solve, schema, key)
 
 
 def _pinv_laplacian(stack: Stack) -> np.ndarray:
@@ -228,7 +231,7 @@ def effective_resistance(edges: DataFrame, target: int, key: Key = GRAPH) -> Dat
         return spread(stack, node=stack.nodes, resistance=np.where(joined, res, np.nan))
 
     schema = f"{key_schema(edges, key)}, node long, resistance double"
-    out = map_blocks(bounded(edges, key), solve, schema, key)
+    out = map_blocks(edges, solve, schema, key)
     return out.withColumn("resistance", F.when(~F.isnan("resistance"), F.col("resistance")))
 
 
@@ -246,21 +249,24 @@ def edge_resistance(edges: DataFrame, key: Key = GRAPH) -> DataFrame:
         return out
 
     schema = f"{key_schema(edges, key)}, src long, dst long, weight double, resistance double"
-    return map_blocks(bounded(edges, key), solve, schema, key)
+    return map_blocks(edges, solve, schema, key)
 
 
 def information_centrality(edges: DataFrame, key: Key = GRAPH) -> DataFrame:
-    """Inverse of the summed effective resistance to all nodes; for connected graphs."""
+    """Inverse of the summed effective resistance to all nodes; null where the graph is not connected."""
 
     def solve(stack: Stack) -> pd.DataFrame:
         inverse = _pinv_laplacian(stack)
         n = inverse.shape[1]
         diag = np.diagonal(inverse, axis1=1, axis2=2)
         total = n * diag + diag.sum(axis=1)[:, None] - 2 * inverse.sum(axis=2)
+        # L L+ is the identity less 1/n everywhere only where all nodes hang together
+        apart = np.abs(stack.laplacian() @ inverse - (np.eye(n) - 1.0 / n)).max(axis=(1, 2)) > 1e-7
         with np.errstate(divide="ignore"):
-            return spread(stack, node=stack.nodes, centrality=1.0 / total)
+            return spread(stack, node=stack.nodes, centrality=np.where(apart[:, None], np.nan, 1.0 / total))
 
-    return map_blocks(bounded(edges, key), solve, f"{key_schema(edges, key)}, node long, centrality double", key)
+    out = map_blocks(edges, solve, f"{key_schema(edges, key)}, node long, centrality double", key)
+    return out.withColumn("centrality", F.when(~F.isnan("centrality"), F.col("centrality")))
 
 
 def quadrature_spectrum(

@@ -5,11 +5,11 @@ Edges are ``(key, src, dst[, weight])`` with ``src <= dst``; nodes are ``(key, n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import Key, attach_stats, names
-from ..functions.scalars import density, sparsity
+from ..functions.scalars import density, mapped, sparsity
 from ..staging import release, stage, stage_counting
 
 GRAPH = "graph_id"
@@ -119,23 +119,8 @@ def degree_rank(degrees: DataFrame, key: Key = GRAPH, chunk: int = 4096) -> Data
     """
     by = names(key)
     counts = degrees.groupBy(*by, "degree").agg(F.count(F.lit(1)).alias("n"))
-    lower = counts.groupBy(*by).agg(
-        F.collect_list(F.struct("degree", "n")).alias("_runs")
-    )
-    runs = lower.select(
-        *by,
-        "_runs",
-        F.explode("_runs").alias("_run"),
-    ).select(
-        *by,
-        F.col("_run.degree").alias("degree"),
-        F.col("_run.n").alias("n"),
-        F.aggregate(
-            F.filter("_runs", lambda o: o["degree"] > F.col("_run.degree")),
-            F.lit(0).cast("long"),
-            lambda acc, o: acc + o["n"],
-        ).alias("_before"),
-    )
+    higher = Window.partitionBy(*by).orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, -1)
+    runs = counts.withColumn("_before", F.coalesce(F.sum("n").over(higher), F.lit(0).cast("long")))
     pieces = runs.withColumn(
         "_lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(chunk).cast("long")))
     ).repartition(*by, "degree", "_lo")
@@ -249,7 +234,7 @@ def add_ground_node(
         F.col("node").alias("dst"),
         F.lit(1.0).alias("weight"),
     )
-    # the ground node sits 160 beyond the electrode, at height 250
+    # fixed values: the ground node sits 160 beyond the electrode, at height 250
     place = x0 + (160.0 if x0 > 0 else -160.0 if x0 < 0 else 0.0)
     extra = nodes.select(*by).distinct().select(
         *by,
@@ -270,7 +255,7 @@ def add_self_loops(
     by = names(key)
     stats = attach_stats(nodes, key, [F.min(feature).alias("_lo"), F.max(feature).alias("_hi")])
     lo, hi = F.col("_lo"), F.col("_hi")
-    scaled = F.try_divide(F.col(feature) - (hi + lo) / 2, hi - lo) * (1 - lo) + (1 + lo) / 2
+    scaled = mapped(F.col(feature), lo, hi, lo, F.lit(1.0))
     loops = stats.select(*by, F.col("node").alias("src"), F.col("node").alias("dst"), scaled.alias("weight"))
     return edges.select(*by, "src", "dst", "weight").unionByName(loops.where(F.col("weight") > above))
 

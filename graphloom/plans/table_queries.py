@@ -415,18 +415,25 @@ def _(spark, sf):
     "score_candidates",
     with_views(
         f"""WITH m AS (SELECT beta_idx, avg(s) AS b FROM curves GROUP BY ALL),
-            e AS (SELECT curve_id % 40 AS candidate_id, beta_idx, avg(s) AS a FROM curves WHERE curve_id % 40 < 30 GROUP BY ALL),
-            f AS (SELECT candidate_id, 1.0 / sum((a - b) * (a - b)) AS fitness FROM e JOIN m USING (beta_idx) GROUP BY ALL)
+            e AS (SELECT curve_id % 40 AS candidate_id, beta_idx, avg(s) AS a FROM curves WHERE curve_id % 40 < 30 GROUP BY ALL
+              UNION ALL SELECT -1, beta_idx, b FROM m),
+            g AS (SELECT c.candidate_id, m.beta_idx, m.b, coalesce(e.a, 0) AS a FROM (SELECT DISTINCT candidate_id FROM e) c CROSS JOIN m
+              LEFT JOIN e ON e.candidate_id = c.candidate_id AND e.beta_idx = m.beta_idx),
+            f AS (SELECT candidate_id, CASE WHEN sum((a - b) * (a - b)) = 0 THEN 'inf'::DOUBLE
+              ELSE 1.0 / sum((a - b) * (a - b)) END AS fitness FROM g GROUP BY ALL)
             SELECT candidate_id, {rd('coalesce(fitness, 0)')} AS fitness
-            FROM (SELECT DISTINCT curve_id % 40 AS candidate_id FROM curves) LEFT JOIN f USING (candidate_id)""",
+            FROM (SELECT DISTINCT curve_id % 40 AS candidate_id FROM curves UNION SELECT -1) LEFT JOIN f USING (candidate_id)""",
         "curves",
     ),
 )
 def _(spark, sf):
     c = curves(spark, sf).withColumn("candidate_id", F.pmod("curve_id", F.lit(40)))
     reference = c.groupBy("beta_idx").agg(F.avg("s").alias("s"))
-    candidates = c.select("candidate_id")
-    return cv.score_candidates(c.where("candidate_id < 30"), reference, candidates).withColumn("fitness", r("fitness"))
+    # the reference itself is one of the candidates
+    same = reference.select(F.lit(-1).cast("long").alias("candidate_id"), "beta_idx", "s")
+    own = c.where("candidate_id < 30").select("candidate_id", "beta_idx", "s").unionByName(same)
+    candidates = c.select("candidate_id").unionByName(same.select("candidate_id"))
+    return cv.score_candidates(own, reference, candidates).withColumn("fitness", r("fitness"))
 
 
 @query(

@@ -94,17 +94,18 @@ def test_hop_counts_match_bfs(spark):
     assert got == {k: g.all_hops(e) for k, e in g.GRAPHS.items()}
 
 
-@pytest.mark.parametrize("max_nodes", [2000, 0])
-def test_path_statistics(spark, max_nodes):
+@pytest.mark.parametrize("form", ["", "_joins"])
+def test_path_statistics(spark, form):
     df = g.frame(spark)
-    avg = {r["graph_id"]: r for r in paths.average_shortest_path(paths.path_sums(df, max_nodes=max_nodes)).collect()}
+    sums, histogram = getattr(paths, f"path_sums{form}"), getattr(paths, f"path_length_histogram{form}")
+    avg = {r["graph_id"]: r for r in paths.average_shortest_path(sums(df)).collect()}
     for k, edges in g.GRAPHS.items():
         hops = g.all_hops(edges)
         shares = [sum(h.values()) / (len(h) - 1) for h in hops.values() if len(h) > 1]
         assert avg[k]["avg_path"] == pytest.approx(sum(shares) / len(shares))
         assert avg[k]["diameter"] == max(max(h.values()) for h in hops.values())
     hist = {}
-    for r in paths.path_length_histogram(df, max_nodes=max_nodes).collect():
+    for r in histogram(df).collect():
         hist.setdefault(r["graph_id"], {})[r["hops"]] = r["pairs"]
     for k, edges in g.GRAPHS.items():
         want = {}
@@ -114,9 +115,9 @@ def test_path_statistics(spark, max_nodes):
         assert hist[k] == want
 
 
-@pytest.mark.parametrize("max_nodes", [2000, 0])
-def test_betweenness(spark, max_nodes):
-    got = by_graph(paths.betweenness(g.frame(spark), max_nodes=max_nodes), "betweenness")
+@pytest.mark.parametrize("form", ["betweenness", "betweenness_joins"])
+def test_betweenness(spark, form):
+    got = by_graph(getattr(paths, form)(g.frame(spark)), "betweenness")
     for k, edges in g.GRAPHS.items():
         want = g.betweenness(edges)
         assert got[k].keys() == want.keys()
@@ -146,7 +147,7 @@ def test_quadrature_agrees_with_exact_curve(spark):
     df = g.frame(spark, {1: edges})
     betas = [0.05, 0.3, 1.0]
     exact = spectral.spectral_entropy(spectral.laplacian_spectrum(df), betas).first()["s"]
-    large = spectral.laplacian_spectrum(df, max_nodes=10, steps=12, probes=6)
+    large = spectral.quadrature_spectrum(df, steps=12, probes=6)
     row = large.first()
     assert sum(row["weights"]) == pytest.approx(300)
     approx = spectral.spectral_entropy(large, betas).first()["s"]
@@ -213,8 +214,41 @@ def test_whole_groups_rejoins_batches():
             assert sum(len(set(f["k"])) for f in out) == 4
 
 
-def test_blocks_refuse_large_graphs(spark):
-    from graphloom.operators.blocks import bounded
+def test_large_graph_beside_small_ones(spark):
+    star = [(0, i) for i in range(1, 2500)]
+    rows = spectral.laplacian_spectrum(g.frame(spark, {1: g.path(9), 2: star})).collect()
+    got = {r["graph_id"]: (len(r["lambdas"]), round(sum(r["lambdas"]), 6), round(r["lambdas"][-1], 6)) for r in rows}
+    assert got[2] == (2500, 2 * 2499, 2500) and got[1][:2] == (9, 16)
 
-    with pytest.raises(Exception, match="above 5 nodes"):
-        bounded(g.frame(spark, {1: g.path(9)}), max_nodes=5).collect()
+
+def test_isolated_nodes_add_zeros(spark):
+    nodes = spark.createDataFrame([(1, 0), (1, 77), (1, 78), (5, 3)], "graph_id long, node long")
+    rows = spectral.laplacian_spectrum(g.frame(spark, {1: g.path(3)}), nodes=nodes).collect()
+    got = {r["graph_id"]: (r["n"], [round(x, 6) for x in r["lambdas"]], list(r["weights"])) for r in rows}
+    assert got == {1: (5, [0, 0, 0, 1, 3], [1.0] * 5), 5: (1, [0], [1.0])}
+
+
+def test_centrality_of_a_disconnected_graph_is_null(spark):
+    rows = spectral.information_centrality(g.frame(spark, {1: [(0, 1), (2, 3)], 2: g.path(3)})).collect()
+    assert all((r["centrality"] is None) == (r["graph_id"] == 1) for r in rows)
+
+
+def test_candidates_against_the_whole_grid(spark):
+    from graphloom.operators.curves import score_candidates
+
+    reference = spark.createDataFrame([(i, float(i)) for i in range(4)], "beta_idx int, s double")
+    curves = [("same", i, float(i)) for i in range(4)] + [("part", 1, 1.0)] + [("shifted", i, i + 1.0) for i in range(4)]
+    df = spark.createDataFrame(curves, "candidate_id string, beta_idx int, s double")
+    every = spark.createDataFrame([("same",), ("part",), ("shifted",), ("none",)], "candidate_id string")
+    got = {r[0]: r[1] for r in score_candidates(df, reference, every).collect()}
+    assert got == {"same": math.inf, "part": 1 / 13, "shifted": 0.25, "none": 0.0}
+    got = {r[0]: r[1] for r in score_candidates(df, reference, every, gradient=True).collect()}
+    assert got["same"] == got["shifted"] == math.inf and got["part"] < 1
+
+
+def test_histogram_of_a_group_outside_the_range(spark):
+    from graphloom.operators.histogram import empirical_pdf_cdf
+
+    df = spark.createDataFrame([(1, 0.5), (1, 1.5), (2, 9.0)], "k int, v double")
+    rows = empirical_pdf_cdf(df, "v", 2, "k", (0.0, 2.0)).collect()
+    assert sorted((r["k"], r["bin"], r["pdf"]) for r in rows) == [(1, 0, 0.5), (1, 1, 0.5), (2, 0, None), (2, 1, None)]
