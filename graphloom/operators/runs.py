@@ -213,7 +213,7 @@ def _with_params(counted: DataFrame, params: DataFrame, by: list[str]) -> DataFr
 
 
 def mixture_density(params: DataFrame, grid: list[float], key: Key = None) -> DataFrame:
-    """Sum of the weighted normals on a grid of points."""
+    """Sum of the weighted normals on a grid of points; null where no component has a spread."""
     by = names(key)
     x = F.col("x")
     spread = params.withColumn("x", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
@@ -222,6 +222,8 @@ def mixture_density(params: DataFrame, grid: list[float], key: Key = None) -> Da
         * F.exp(-F.pow(x - F.col("mean"), 2) / (2 * F.col("variance")))
         / F.sqrt(2 * F.pi() * F.col("variance"))
     )
+    # a component without spread has no density
+    part = F.when(F.col("variance") > 0, part)
     return spread.groupBy(*by, "x").agg(F.sum(part).alias("density"))
 
 

@@ -203,7 +203,7 @@ def _(spark, sf):
     with_views(
         """WITH RECURSIVE adj AS (SELECT graph_id, u, w, row_number() OVER (PARTITION BY graph_id, u ORDER BY w) - 1 AS i FROM both_ways),
            walk_state(graph_id, walk, start, node, step, path) AS (
-             SELECT graph_id, UNNEST([0, 1]), node, node, 0, CAST(node AS VARCHAR) FROM degrees
+             SELECT graph_id, UNNEST(range(10)), node, node, 0, CAST(node AS VARCHAR) FROM degrees
              UNION ALL
              SELECT s.graph_id, s.walk, s.start, a.w, s.step + 1, s.path || '>' || a.w FROM walk_state s
              JOIN degrees d ON d.graph_id = s.graph_id AND d.node = s.node
@@ -216,7 +216,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    walks = ft.random_walks(simple_edges(spark, sf), length=20, walks=2)
+    walks = ft.random_walks(simple_edges(spark, sf), length=20, walks=10)
     return walks.withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
 
 

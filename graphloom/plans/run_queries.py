@@ -169,7 +169,7 @@ def _(spark, sf):
     return rn.result_filters(df, p_col="d").select("run_id", "generation", "fitness")
 
 
-PIVOT = [0.0, 0.02, 0.04, 0.06, 0.08]
+PIVOT = [i / 100 for i in range(9)]
 
 
 @query(
@@ -244,12 +244,14 @@ def peaks(spark, sf):
     with_views(
         f"""WITH {PEAKS_SQL} SELECT CAST(x AS DOUBLE) AS x,
               {rd('sum(weight * exp(-power(x - mean, 2) / (2 * variance)) / sqrt(2 * pi() * variance))', 10)} AS density
-            FROM peaks, (SELECT UNNEST(range(0, 100000, 1000)) AS x) GROUP BY ALL""",
+            FROM peaks, (SELECT UNNEST(range(0, (SELECT CAST(floor(max(fitness) / 1000) AS BIGINT) + 2 FROM run_log) * 1000, 1000)) AS x) GROUP BY ALL""",
         "run_log",
     ),
 )
 def _(spark, sf):
-    return rn.mixture_density(peaks(spark, sf), [1000.0 * i for i in range(100)]).withColumn("density", r("density", 10))
+    top = run_log(spark, sf).agg(F.max("fitness")).first()[0]
+    grid = [1000.0 * i for i in range(int(top // 1000) + 2)]
+    return rn.mixture_density(peaks(spark, sf), grid).withColumn("density", r("density", 10))
 
 
 @query(
@@ -308,7 +310,7 @@ def _(spark, sf):
     "bootstrap_mean_curves",
     with_views(
         f"""WITH {DRAW_SQL}, full_grid AS (SELECT curve_id, beta_idx, coalesce(s, 0) AS s FROM (SELECT DISTINCT curve_id FROM curves)
-              CROSS JOIN (SELECT UNNEST(range(30)) AS beta_idx) LEFT JOIN curves USING (curve_id, beta_idx)),
+              CROSS JOIN (SELECT UNNEST(range((SELECT max(beta_idx) FROM curves) + 1)) AS beta_idx) LEFT JOIN curves USING (curve_id, beta_idx)),
             ix AS (SELECT f.*, x.idx FROM full_grid f JOIN x USING (curve_id)),
             pop AS (SELECT beta_idx, avg(s) AS pop FROM full_grid GROUP BY ALL),
             m AS (SELECT size, rep, beta_idx, avg(s) AS mean FROM dr JOIN ix USING (idx) GROUP BY ALL)
@@ -319,7 +321,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     x = indexed_x(spark, sf).select("curve_id", "idx")
-    grid = x.withColumn("beta_idx", F.explode(F.sequence(F.lit(0), F.lit(29)).cast("array<long>")))
+    last = curves(spark, sf).agg(F.max("beta_idx").cast("long")).first()[0]
+    grid = x.withColumn("beta_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last))))
     full = grid.join(curves(spark, sf), ["curve_id", "beta_idx"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
     pop = full.groupBy("beta_idx").agg(F.avg("s").alias("pop"))
     draws = rn.bootstrap_draws(spark, SIZES, REPS, population(x))

@@ -41,9 +41,20 @@ def star_curve_sql(lo, hi, n):
 FULL = (-3, 4, 300)
 
 
-@query("beta_grid", f"SELECT CAST(beta_idx AS BIGINT) AS beta_idx, {rd('beta', 8)} AS beta FROM {grid_sql(*FULL)}")
+@query(
+    "beta_grid",
+    with_views(
+        f"""WITH {star_curve_sql(*FULL)} SELECT beta_idx, {rd('beta', 8)} AS beta, count(*) AS n_curves
+            FROM stars JOIN star_curve USING (leaves) GROUP BY ALL""",
+        "stars",
+    ),
+)
 def _(spark, sf):
-    return sp.beta_grid(spark).withColumn("beta", r("beta", 8))
+    """The grid as it stands under the curves of all order graphs."""
+    curves = sp.long_curve(sp.spectral_entropy(star_spectra(spark, sf)))
+    counted = curves.groupBy("beta_idx").agg(F.count(F.lit(1)).alias("n_curves"))
+    grid = sp.beta_grid(spark).withColumn("beta", r("beta", 8))
+    return grid.join(counted, "beta_idx").select("beta_idx", "beta", "n_curves")
 
 
 @query(
@@ -190,13 +201,13 @@ def np_gradient_sql(source, cols):
         f"""WITH {star_curve_sql(*FULL)}, c AS (SELECT leaves, beta_idx, beta, mean_lam AS y FROM star_curve),
             {np_gradient_sql('c', 'leaves')}
             SELECT graph_id % 2 AS corpus, CAST(beta_idx AS INTEGER) AS beta_idx, {rd('avg(-slope * beta * beta)', 5)} AS heat
-            FROM stars JOIN c_g USING (leaves) WHERE beta_idx < 250 GROUP BY ALL""",
+            FROM stars JOIN c_g USING (leaves) GROUP BY ALL""",
         "stars",
     ),
 )
 def _(spark, sf):
     heat = sp.specific_heat_from_spectrum(parity(star_spectra(spark, sf)))
-    mean = cv.ensemble_mean_curve(heat, "corpus", "c").where("beta_idx < 250")
+    mean = cv.ensemble_mean_curve(heat, "corpus", "c")
     return mean.select("corpus", "beta_idx", r("mean_s", 5).alias("heat"))
 
 
