@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import quality_rules as rules
 from .cross_entropy import score_documents
@@ -15,7 +14,7 @@ from .order_minhash import near_duplicates
 from .packing import pack
 from .passages import passages
 from .registry import query, table
-from .viterbi import SPACE, decode, encode
+from .viterbi import round_trip
 from .warc_zip import REVISIT_BYTES, archive_round_trip
 
 QUALITY_COLUMNS = ["doc_id", *rules.COUNTS, "base_failed", "kept"]
@@ -125,12 +124,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 @query("op8_sentencepiece")
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text they decode to."""
-    encoded = encode(table(spark, sf_dir, "documents"), PIECES, keep_text=True)
-    counted = encoded.withColumn("n_pieces", F.size("ids").cast("long"))
-    read_back = F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE), F.lit(" "))
-    return decode(counted, PIECES).select(
-        "doc_id", "n_pieces", "ids_crc32", F.md5("decoded").alias("decoded_md5"), (F.col("decoded") == read_back).alias("restored")
-    )
+    return round_trip(table(spark, sf_dir, "documents"), PIECES)
 
 
 @query("op2_lm_scoring")

@@ -9,6 +9,7 @@ last piece. (A BPE file's scores are its merge ranks, negated: its own merges ca
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .text import Words, hash_ranges, mix, slices, string_buffers
+from .text import Words, hash_ranges, slices, string_buffers
 from .tokens import CachedIds
 
 SPACE = "▁"
@@ -31,6 +32,8 @@ GROUP_CHARS = 1 << 19
 
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 _LENGTH = np.uint64(0x165667B19E3779F9)
+_SPREAD = np.uint64(0x9FB21C651E98DF25)
+FIRST_BITS = 20
 
 
 class Pieces(CachedIds):
@@ -52,6 +55,10 @@ class Pieces(CachedIds):
         self.piece_keys, self.piece_ids, self.piece_scores = keys[order], np.array(ids)[order], score[order]
         if (self.piece_keys[1:] == self.piece_keys[:-1]).any():
             raise ValueError("two pieces share a hash")
+        # most substrings are no piece: their first bits tell
+        self.some = np.zeros(1 << FIRST_BITS, bool)
+        self.some[(self.piece_keys >> np.uint64(64 - FIRST_BITS)).astype(np.int64)] = True
+        self.lines_apart = not any("\n" in t for t in texts)
         self.unknown = float(score.min() - UNKNOWN)
         self.together = {t[i : i + 2] for t in texts for i in range(len(t) - 1)}
         self.bytes = {i: bytes([int(model.id_to_piece(i)[3:5], 16)]) for i in every if model.is_byte(i)}
@@ -66,7 +73,7 @@ class Pieces(CachedIds):
         total = np.zeros(1, np.uint64)
         for c in text:
             total = total * _BASE + np.uint64(ord(c))
-        return int(mix(total + np.array([len(text)], np.uint64) * _LENGTH)[0])
+        return int(((total + np.array([len(text)], np.uint64) * _LENGTH) * _SPREAD)[0])
 
     def cut(self, column: pa.Array) -> Words:
         """Words that begin with their spaces; a text that isn't empty begins with one more."""
@@ -78,6 +85,10 @@ class Pieces(CachedIds):
         begins[1:] &= ~space[:-1]
         filled = offsets[:-1][np.diff(offsets) > 0]
         begins[filled] = True
+        if self.lines_apart:
+            line = data == 10
+            begins |= line
+            begins[1:] |= line[:-1]
         start = np.flatnonzero(begins)
         end = np.append(start[1:], len(data))
         first = np.searchsorted(start, offsets)
@@ -95,23 +106,31 @@ class Pieces(CachedIds):
             for part in self._split(raw.decode("utf-8", "replace").replace(" ", SPACE)):
                 parts.append(part)
                 owner.append(i)
-        found: list[np.ndarray | None] = [None] * len(parts)
         by_length = defaultdict(list)
         for i, part in enumerate(parts):
             by_length[len(part)].append(i)
+        rows, sizes, flats = [], [], []
         for length, group in by_length.items():
             step = max(1, GROUP_CHARS // length)
             for lo in range(0, len(group), step):
                 some = group[lo : lo + step]
-                chars = np.frombuffer("".join(parts[i] for i in some).encode("utf-32-le", "surrogatepass"), "<u4")
-                for i, ids in zip(some, self.search(chars.reshape(len(some), length)), strict=True):
-                    found[i] = ids
-        size = np.bincount(owner, [len(x) for x in found], minlength=len(new)).astype(np.int64)
-        flat = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
-        return size, flat
+                chars = np.frombuffer("".join([parts[i] for i in some]).encode("utf-32-le", "surrogatepass"), "<u4")
+                size, flat = self.search(chars.reshape(len(some), length))
+                rows.append(np.array(some))
+                sizes.append(size)
+                flats.append(flat)
+        if not rows:
+            return np.zeros(len(new), np.int64), np.zeros(0, np.int32)
+        row, size, flat = np.concatenate(rows), np.concatenate(sizes), np.concatenate(flats)
+        at = np.cumsum(size) - size
+        order = np.argsort(row)
+        size, at = size[order], at[order]
+        begin = np.cumsum(size) - size
+        flat = flat[np.repeat(at - begin, size) + np.arange(size.sum())]
+        return np.bincount(owner, size, minlength=len(new)).astype(np.int64), flat.astype(np.int32)
 
-    def search(self, chars: np.ndarray) -> list[np.ndarray]:
-        """Ids of each row of characters; of equal sums the one with the longest last piece."""
+    def search(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each row of characters, and all ids; of equal sums the one with the longest last piece."""
         n, length = chars.shape
         prefix = np.zeros((length + 1, n), np.uint64)
         for j in range(length):
@@ -122,17 +141,26 @@ class Pieces(CachedIds):
         best[0] = 0
         back = np.zeros((length + 1, n), np.int32)
         piece = np.full((length + 1, n), -1, np.int32)
+
+        def offer(i: int, j: int, at: np.ndarray, total: np.ndarray, ids) -> None:
+            better = total > best[j, at]
+            at = at[better]
+            best[j, at], back[j, at] = total[better], i
+            piece[j, at] = ids if np.isscalar(ids) else ids[better]
+
         for j in range(1, length + 1):
             for i in range(max(0, j - self.longest), j):
-                key = mix(prefix[j] - prefix[i] * power[j - i] + salt[j - i])
-                slot = np.minimum(np.searchsorted(self.piece_keys, key), len(self.piece_keys) - 1)
-                hit = self.piece_keys[slot] == key
-                total = np.where(hit, best[i] + self.piece_scores[slot], -np.inf)
-                ids = np.where(hit, self.piece_ids[slot], -1)
+                key = (prefix[j] - prefix[i] * power[j - i] + salt[j - i]) * _SPREAD
+                at = np.flatnonzero(self.some[(key >> np.uint64(64 - FIRST_BITS)).astype(np.int64)])
+                slot = np.minimum(np.searchsorted(self.piece_keys, key[at]), len(self.piece_keys) - 1)
+                hit = self.piece_keys[slot] == key[at]
+                at, slot = at[hit], slot[hit]
+                offer(i, j, at, best[i, at] + self.piece_scores[slot], self.piece_ids[slot])
                 if i == j - 1:
-                    total = np.where(hit, total, best[i] + self.unknown)
-                better = total > best[j]
-                best[j][better], back[j][better], piece[j][better] = total[better], i, ids[better]
+                    none = np.ones(n, bool)
+                    none[at] = False
+                    at = np.flatnonzero(none)
+                    offer(i, j, at, best[i, at] + self.unknown, -1)
         at = np.full(n, length)
         steps = []
         rows = np.arange(n)
@@ -140,13 +168,14 @@ class Pieces(CachedIds):
             steps.append(np.where(at > 0, piece[at, rows], -2))
             at = np.where(at > 0, back[at, rows], 0)
         taken = np.array(steps[::-1]).T
-        out = []
-        odd = (taken == -1).any(1)
-        size = (taken != -2).sum(1)
-        flat = np.split(taken[taken != -2], np.cumsum(size)[:-1])
-        for row, ids in enumerate(flat):
-            out.append(self._fall_back(ids, chars[row]) if odd[row] else ids)
-        return out
+        size, flat = (taken != -2).sum(1), taken[taken != -2]
+        odd = np.flatnonzero((taken == -1).any(1))
+        if len(odd):
+            parts = np.split(flat, np.cumsum(size)[:-1])
+            for row in odd.tolist():
+                parts[row] = self._fall_back(parts[row], chars[row])
+            size, flat = np.array(list(map(len, parts))), np.concatenate(parts)
+        return size, flat
 
     def _fall_back(self, ids: np.ndarray, chars: np.ndarray) -> np.ndarray:
         """Put the bytes of a character in place of an unknown piece."""
@@ -215,6 +244,44 @@ def encode(docs: DataFrame, model: str, keep_text: bool = False) -> DataFrame:
     )
 
 
+def round_trip(docs: DataFrame, model: str) -> DataFrame:
+    """Digests of what :func:`encode` and :func:`decode` give for each row, without moving ids or texts.
+
+    ``restored`` tells whether the ids spell the text again, a space for each space sign; ``decoded_md5`` is that of the
+    text they spell. Rows are as in :func:`encode`.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pieces_of(model)
+        for batch in batches:
+            for lo, hi in slices(batch.column(1)):
+                text = batch.column(1).slice(lo, hi - lo)
+                ids, at = pieces.encode(text)
+                data, begin = pieces.decode(ids.astype(np.int64), at)
+                offsets, given = string_buffers(pc.replace_substring(text.cast(pa.large_string()), SPACE, " "))
+                raw, spelt, given = (memoryview(x.tobytes()) for x in (ids.astype("<u4"), data, given))
+                rows = zip(at[:-1].tolist(), at[1:].tolist(), begin[:-1].tolist(), begin[1:].tolist(), offsets.tolist(), offsets[1:].tolist(), strict=False)
+                crc, md5, same = [], [], []
+                for a, b, c, d, e, f in rows:
+                    crc.append(zlib.crc32(raw[4 * a : 4 * b]))
+                    md5.append(hashlib.md5(spelt[c:d]).hexdigest())
+                    same.append(spelt[c:d] == given[e:f])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(lo, hi - lo),
+                        pa.array(np.diff(at), pa.int64()),
+                        pa.array(crc, pa.int64()),
+                        pa.array(md5, pa.string()),
+                        pa.array(same, pa.bool_()),
+                    ],
+                    names=["doc_id", "n_pieces", "ids_crc32", "decoded_md5", "restored"],
+                )
+
+    return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "CAST(text AS string) AS text").mapInArrow(
+        run, "doc_id long, n_pieces long, ids_crc32 long, decoded_md5 string, restored boolean"
+    )
+
+
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """Put ``decoded``, the text of the ids, in the place of ``ids``; null ids are an empty text."""
     at_ids = encoded.columns.index("ids")

