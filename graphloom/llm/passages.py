@@ -5,6 +5,10 @@ matched with its first occurrence only, in the document of the smallest id, so a
 share gives each of them one match and never a pair of each two. The matches of two documents are
 chained in order of both texts under a gap cost, with a Fenwick tree for the best predecessor; the chains
 are aligned word by word, and what is long and alike enough is a passage.
+
+An earlier document that holds a fragment of a passage takes the seeds of it. So what is not covered then is looked
+up once more by whole runs of 50 words, again by their first occurrence: that one holds the run from end to end, and
+every run that is repeated word for word is covered. Only runs whose seeds all have an earlier holder are looked up.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import stage
+from ..staging import release, stage
 from .order_minhash import banded_matches, labelled
 from .text import shingles, slices, words
 
@@ -31,6 +35,7 @@ GAP = 0.05
 #: Words beyond the outer seeds in which a passage may go on.
 FLANK = 64
 
+RUNS_DDL = "run long, doc_id long, pos int, seed long"
 SEEDS_DDL = "seed long, doc_id long, pos int, first boolean"
 CHAINS_DDL = "doc_id long, source long, xs array<int>, ys array<int>"
 PASSAGES_DDL = (
@@ -198,6 +203,124 @@ def chain_table(matches: DataFrame) -> DataFrame:
     )
 
 
+def run_table(docs: DataFrame, places: DataFrame, covered: DataFrame | None = None) -> DataFrame:
+    """Runs of ``MIN_WORDS`` words of (doc_id, text) that can be repeated, with the first seed in their middle.
+
+    The seeds in the middle of a run do not depend on the words around it: a run has the same ones wherever it
+    stands. ``places`` (doc_id, at) has places of seeds. With ``covered`` (doc_id, spans) a run counts if all its
+    middle seeds are among them and a word of it is in no span; without, if the first one is.
+    """
+    middle, after = WINDOW - 1, MIN_WORDS - SHINGLE - WINDOW + 2
+    narrow = covered is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in slices(batch.column(1)):
+                w = words(batch.column(1).slice(lo, hi - lo))
+                value, row, pos = shingles(w, SHINGLE)
+                at = winnow(value, row)
+                seed, where = value[at], w.first[row[at]] + pos[at]
+                known = np.zeros(len(w.hash) + 1, bool)
+                bare = np.ones(len(w.hash) + 1, bool)
+                for k in range(lo, hi):
+                    begin, end = int(w.first[k - lo]), int(w.first[k - lo + 1])
+                    own = batch.column(2)[k].values.to_numpy(zero_copy_only=False)
+                    known[begin + own[own < end - begin]] = True
+                    if narrow:
+                        for span in batch.column(3)[k].as_py() or []:
+                            bare[begin + span["start_word"] : min(begin + span["end_word"], end)] = False
+                value, row, pos = shingles(w, MIN_WORDS)
+                whole = np.diff(w.first)[row] >= MIN_WORDS
+                value, row, pos = value[whole], row[whole], pos[whole]
+                place = w.first[row] + pos
+                lead = np.searchsorted(where, place + middle)
+                if not narrow:
+                    some = known[where[lead]]
+                else:
+                    unknown = np.concatenate([[0], np.cumsum(~known[where])])
+                    left = np.concatenate([[0], np.cumsum(bare)])
+                    some = unknown[np.searchsorted(where, place + after)] == unknown[lead]
+                    some &= left[place + MIN_WORDS] > left[place]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(value[some].view(np.int64)),
+                        batch.column(0).slice(lo, hi - lo).take(pa.array(row[some])),
+                        pa.array(pos[some], pa.int32()),
+                        pa.array(seed[lead[some]].view(np.int64)),
+                    ],
+                    names=["run", "doc_id", "pos", "seed"],
+                )
+
+    both = docs.select("doc_id", "text").join(places, "doc_id")
+    if narrow:
+        both = both.join(covered, "doc_id", "left")
+    return both.mapInArrow(run, RUNS_DDL)
+
+
+def _cover(pos: np.ndarray, source_pos: np.ndarray) -> list[tuple[int, int, int]]:
+    """Few (start, last start, start in the source) of repeated runs that cover the same words; ``pos`` ascends."""
+    new = np.ones(len(pos), bool)
+    new[1:] = (np.diff(pos) != 1) | (np.diff(source_pos) != 1)
+    a = np.flatnonzero(new)
+    pieces = list(zip(pos[a].tolist(), pos[np.append(a[1:], len(pos)) - 1].tolist(), source_pos[a].tolist(), strict=True))
+    out: list[tuple[int, int, int]] = []
+    for k, piece in enumerate(pieces):
+        # the next one begins where this ends or before: what the last one taken leaves open tells whether this is needed
+        reach = out[-1][1] + MIN_WORDS if out else -1
+        if k + 1 == len(pieces) or pieces[k + 1][0] > reach or piece[1] > piece[0]:
+            if piece[1] + MIN_WORDS > reach:
+                out.append(piece)
+    return out
+
+
+def repeated_runs(left: DataFrame, runs: DataFrame) -> DataFrame:
+    """Chains, as of :func:`chain_table`, from each run of ``left`` to its first occurrence among ``runs``, if a smaller id has it."""
+    firsts = (
+        runs.join(left.select("run").distinct(), "run", "left_semi")
+        .groupBy("run")
+        .agg(F.min("doc_id").alias("source"), F.min_by("pos", F.struct("doc_id", "pos")).alias("source_pos"))
+    )
+    matches = left.join(firsts, "run").where("doc_id <> source")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+
+        def found(cols: list[np.ndarray]) -> pa.RecordBatch:
+            rows = []
+            cut = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(cols[0])], strict=True):
+                if a < b:
+                    for first, last, there in _cover(cols[2][a:b], cols[3][a:b]):
+                        end = last - first + MIN_WORDS - SHINGLE
+                        rows.append((int(cols[0][a]), int(cols[1][a]), [first, first + end], [there, there + end]))
+            types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["doc_id", "source", "xs", "ys"]
+            )
+
+        for batch in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if rest is not None:
+                cols = [np.concatenate(pair) for pair in zip(rest, cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            # the last group may go on in the next batch
+            last = int(np.argmax((cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])))
+            rest = [c[last:] for c in cols]
+            yield found([c[:last] for c in cols])
+        if rest is not None:
+            yield found(rest)
+
+    parts = int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        matches.select("doc_id", "source", "pos", "source_pos")
+        .distinct()
+        .repartition(parts, "doc_id", "source")
+        .sortWithinPartitions("doc_id", "source", "pos", "source_pos")
+        .mapInArrow(run, CHAINS_DDL)
+    )
+
+
 def _extend(x: np.ndarray, y: np.ndarray) -> int:
     """Words by which two texts go on alike: the best prefix, a difference weighing twice a match."""
     n = min(len(x), len(y))
@@ -248,6 +371,7 @@ def passages(docs: DataFrame) -> DataFrame:
 
     Places count words (``start_word`` from 0, ``end_word`` excluded). Edits inside a passage are allowed to
     a fifth of its words. The document that holds a seed first is its source and reports no passage for it.
+    Every 50 words that an earlier document has word for word are covered, whoever else holds parts of them.
     A document can have several rows, which may overlap.
 
     Null and empty texts, texts of fewer than 50 words and rows with a null id have no passages. Rows that
@@ -264,7 +388,22 @@ def passages(docs: DataFrame) -> DataFrame:
         .drop("last")
     ).df
     matches = seeds.join(shared, "seed").where("doc_id <> source")
-    linked = stage(chain_table(matches)).df
+    linked = stage(chain_table(matches))
+    found = stage(_aligned(docs, linked.df)).df
+    release(docs.sparkSession, linked)
+    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+    left = stage(run_table(docs, _places(matches), spans)).df
+    again = seeds.join(left.select("seed").distinct(), "seed", "left_semi")
+    runs = stage(run_table(docs, _places(again))).df
+    return found.unionByName(_aligned(docs, stage(repeated_runs(left, runs)).df))
+
+
+def _places(seeds: DataFrame) -> DataFrame:
+    return seeds.groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
+
+
+def _aligned(docs: DataFrame, linked: DataFrame) -> DataFrame:
+    """Passages of the chains ``linked``."""
     needed = linked.select(F.explode(F.array("doc_id", "source")).alias("doc_id")).distinct()
     texts = stage(docs.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))).df
     x, x_begin = _span("text", "xs")

@@ -82,3 +82,29 @@ def test_whole_copies_empty_tables_and_repeated_ids(spark):
     assert found == [(5, 0, 70, 3), (9, 0, 70, 3)]
     assert sorted(r.doc_id for r in without_passages(df, passages(df)).collect()) == [3, 3]
     assert passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def covered(found, doc_id):
+    return {k for r in found if r.doc_id == doc_id for k in range(r.start_word, r.end_word)}
+
+
+def test_repeats_whose_seeds_earlier_documents_hold(spark):
+    """Fragments and phrases of a passage in earlier documents do not hide its repeat between later ones."""
+    rng = random.Random(21)
+    long, short, mixed, line = prose(rng, 60), prose(rng, 55), prose(rng, 55), prose(rng, 1)
+    texts = {
+        1: prose(rng, 20) + long[:40] + prose(rng, 20),
+        2: prose(rng, 20) + short[12:42] + prose(rng, 20),
+        3: [w for k in range(0, 50, 10) for w in [*mixed[k : k + 7], *prose(rng, 9)]],
+        10: prose(rng, 30) + long + prose(rng, 30) + short + prose(rng, 5),
+        11: prose(rng, 10) + mixed + prose(rng, 30) + line * 200,
+        20: prose(rng, 7) + short + prose(rng, 40) + long,
+        21: prose(rng, 33) + mixed + prose(rng, 12) + line * 170 + prose(rng, 9),
+    }
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    found = passages(df).collect()
+    assert covered(found, 20) >= {*range(7, 62), *range(102, 162)}
+    assert covered(found, 21) >= {*range(33, 88), *range(100, 270)}
+    assert not any(covered(found, i) for i in (1, 2, 3, 10, 11))
+    for r in found:
+        assert r.source_doc_id < r.doc_id and r.n_matched >= 0.8 * (r.end_word - r.start_word)
