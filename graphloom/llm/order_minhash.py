@@ -129,18 +129,22 @@ def banded_matches(x: np.ndarray, y: np.ndarray, band: int) -> int:
     return head + tail + len(y) - state.bit_count()
 
 
-def compare(x: np.ndarray, y: np.ndarray, similarity: float = SIMILARITY) -> tuple[int, bool]:
+def compare(
+    x: np.ndarray, y: np.ndarray, similarity: float = SIMILARITY, plain: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[int, bool]:
     """Distance of the two sets of labelled shingles, and whether the aligned similarity is reached.
 
     Matches over the union of both sequences must reach ``similarity``; an alignment can't match more
     than the sets have in common, which settles most pairs, nor leave the band of the indels allowed.
+    ``plain`` has the shingles without labels, which are what is aligned: one occurrence more or less early in a
+    text shifts the labels of all later ones.
     """
     total = len(x) + len(y)
     common = len(np.intersect1d(x, y, assume_unique=True))
     if not total or common < similarity * (total - common):
         return total - 2 * common, False
     band = int(total * (1 - similarity) / (1 + similarity)) + 1
-    matches = banded_matches(x, y, band)
+    matches = banded_matches(*(plain or (x, y)), band)
     return total - 2 * common, matches >= similarity * (total - matches)
 
 
@@ -150,11 +154,13 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in slices(batch.column(2)):
-                sides = []
+                sides, plain = [], []
                 for k in (2, 3):
                     value, row, _ = shingles(words(batch.column(k).slice(lo, hi - lo)), SHINGLE)
-                    sides.append(np.split(labelled(value, row), np.searchsorted(row, np.arange(1, hi - lo))))
-                found = [compare(x, y) for x, y in zip(*sides, strict=True)]
+                    cuts = np.searchsorted(row, np.arange(1, hi - lo))
+                    sides.append(np.split(labelled(value, row), cuts))
+                    plain.append(np.split(value, cuts))
+                found = [compare(x, y, plain=(p, q)) for x, y, p, q in zip(*sides, *plain, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),

@@ -117,3 +117,15 @@ def test_near_duplicates_edge_cases(spark):
         key=str,
     )
     assert got == sorted([(None, None), (4, 4), (4, 4), (9, 4), (11, 11)], key=str)
+
+
+def test_repeated_lines_do_not_shift_the_alignment(spark):
+    """A near copy without the first of many equal lines: its plain shingles align, though all later labels differ."""
+    line = [f"form{i}" for i in range(10)]
+    whole = [w for k in range(30) for w in [*line, *(f"own{k}x{i}" for i in range(10))]]
+    texts = {1: " ".join(whole), 2: " ".join(whole[10:]), 3: " ".join(f"other{i}" for i in range(300))}
+    x, y = ([g for g, _ in grams(texts[i])] for i in (1, 2))
+    m = lcs(x, y)
+    assert m >= 0.8 * (len(x) + len(y) - m)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
