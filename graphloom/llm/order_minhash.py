@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -192,6 +192,11 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
+def can_link(common: Column, n: Column) -> Column:
+    """Whether so many of both texts' ``n`` shingles in common can reach ``SIMILARITY`` (4 / 5), in whole numbers."""
+    return common * 9 >= n * 4
+
+
 def _classes(links: DataFrame) -> DataFrame:
     edges = links.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     found = connected_components(edges, key=None)
@@ -252,7 +257,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             & (F.col("x.class_id") < F.col("y.class_id"))
             & (F.abs(F.col("x.n") - F.col("y.n")) <= n * gap)
             & (F.abs(F.col("x.distance") - F.col("y.distance")) <= n * gap)
-            & (common * (1 + SIMILARITY) >= n * SIMILARITY),
+            & can_link(common, n),
         )
         .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
         .distinct()

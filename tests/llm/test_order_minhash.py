@@ -5,8 +5,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
-from graphloom.llm.order_minhash import banded_matches, compare, labelled, near_duplicates
+from graphloom.llm.order_minhash import SIMILARITY, banded_matches, can_link, compare, labelled, near_duplicates
 from graphloom.llm.text import shingles, words
 
 
@@ -129,3 +130,15 @@ def test_repeated_lines_do_not_shift_the_alignment(spark):
     assert m >= 0.8 * (len(x) + len(y) - m)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_pairs_at_exactly_the_similarity_are_weighed(spark):
+    """The join's bound lets through what ``compare`` accepts, 28 shingles in common of 63 among them."""
+    assert SIMILARITY == 0.8
+    rows = [(c, n) for n in range(2, 300) for c in range(n // 2 + 1)]
+    df = spark.createDataFrame(rows, "c int, n long")
+    got = {(r.c, r.n) for r in df.where(can_link(F.col("c"), F.col("n"))).collect()}
+    assert got == {(c, n) for c, n in rows if 5 * c >= 4 * (n - c)}
+    for c, n in [(28, 63), (56, 126), (92, 207), (112, 252)]:
+        x, y = np.arange(c, dtype=np.uint64), np.arange(n - c, dtype=np.uint64)
+        assert compare(x, y) == (n - 2 * c, True) and (c, n) in got
