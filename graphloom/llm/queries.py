@@ -10,6 +10,7 @@ from .cross_entropy import score_documents
 from .html_region import main_text
 from .label_model import classify
 from .mtree import top_k
+from .ngram_join import ngram_components
 from .order_minhash import near_duplicates
 from .packing import pack
 from .passages import passages
@@ -132,3 +133,31 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target is what the labels call good and not toxic."""
     good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
     return score_documents(table(spark, sf_dir, "documents"), good)
+
+
+NGRAM_SQL = """
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(regexp_split_to_array(
+      translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+      lambda x: x <> '') AS words
+  FROM documents
+), sets AS (
+  SELECT r, doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS grams
+  FROM w
+), g AS (SELECT r, len(grams) AS n, unnest(grams) AS gram FROM sets),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM g a JOIN g b ON a.gram = b.gram AND a.r <> b.r
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT r AS a, r AS b FROM sets UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT s.doc_id, len(s.grams)::BIGINT AS n_shingles, min(t.doc_id) AS component_id
+FROM reach JOIN sets s ON s.r = reach.a JOIN sets t ON t.r = reach.b GROUP BY s.r, s.doc_id, s.grams
+"""
+
+
+@query("op13_ngram_join", NGRAM_SQL)
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
