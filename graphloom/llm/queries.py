@@ -15,6 +15,7 @@ from .order_minhash import near_duplicates
 from .packing import pack
 from .passages import passages
 from .registry import query, table
+from .token_alignment import align_tokens
 from .viterbi import round_trip
 from .warc_zip import REVISIT_BYTES, archive_round_trip
 
@@ -135,6 +136,14 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), good)
 
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+
+
 NGRAM_SQL = """
 WITH RECURSIVE w AS (
   SELECT row_number() OVER () AS r, doc_id,
