@@ -9,7 +9,7 @@ for the pairs that are left. Rows of one component are never multiplied with eac
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..staging import release, stage
+from ..staging import Staged, release, stage
 from .text import shingles, slices, words
 
 SHINGLE = 5
@@ -48,7 +48,10 @@ def incidence(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return value[new], row[new]
 
 
-def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+Entries = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+
+
+def frequent(docs: DataFrame, entries: Entries = incidence) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the shingles that many sampled documents have, with the magnitude of their count."""
     total = docs.count()
     share = 1 << 20
@@ -58,7 +61,7 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
-                value, n = np.unique(incidence(batch.column(1).slice(lo, hi - lo))[0], return_counts=True)
+                value, n = np.unique(entries(batch.column(1).slice(lo, hi - lo))[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
     found = (
@@ -76,14 +79,14 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return gram[order], np.log2(found["n"].to_numpy()).astype(np.int8)[order]
 
 
-def heads(docs: DataFrame) -> DataFrame:
+def heads(docs: DataFrame, entries: Entries = incidence) -> DataFrame:
     """(doc_id, n, digest, grams): size, digest of the whole set, and the columns in which partners must meet."""
-    known, magnitude = frequent(docs)
+    known, magnitude = frequent(docs, entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
-                value, row = incidence(batch.column(1).slice(lo, hi - lo))
+                value, row = entries(batch.column(1).slice(lo, hi - lo))
                 n = np.bincount(row, minlength=hi - lo)
                 at = np.concatenate([[0], np.cumsum(n)])
                 view = memoryview(value.tobytes())
@@ -148,6 +151,14 @@ def overlapping(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").where(overlap * 9 >= need(total)).select("a", "b")
 
 
+def meeting(postings: DataFrame) -> Staged:
+    """The (gram, ...) rows whose column has another row. Only counts are shuffled to tell them."""
+    several = stage(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("gram"))
+    members = stage(postings.join(several.df, "gram"))
+    release(postings.sparkSession, several)
+    return members
+
+
 def block_products(node: np.ndarray, n: np.ndarray, rest: np.ndarray, label: np.ndarray) -> Iterator[tuple]:
     """Pairs of rows of one column with different labels that the sizes leave.
 
@@ -267,11 +278,12 @@ def ngram_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     reps = stage(reps.withColumn("node", F.monotonically_increasing_id()))
     exploded = reps.df.select("node", "n", F.posexplode("grams").alias("pos", "gram"))
     postings = exploded.select("gram", "node", "n", (F.col("n") - F.col("pos")).alias("rest"))
+    members = meeting(postings)
     centre = F.min_by(F.struct("node", "n", "rest"), F.struct(-F.col("rest") / F.col("n"), F.col("node"))).alias("centre")
-    columns = stage(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("size"), centre).where("size > 1"))
-    members = stage(postings.join(columns.df.select("gram", "centre"), "gram"))
+    centres = stage(members.df.groupBy("gram").agg(centre))
     stars = (
-        members.df.where((F.col("node") != F.col("centre.node")) & can_meet(F.col("n"), F.col("rest"), F.col("centre.n"), F.col("centre.rest")))
+        members.df.join(centres.df, "gram")
+        .where((F.col("node") != F.col("centre.node")) & can_meet(F.col("n"), F.col("rest"), F.col("centre.n"), F.col("centre.rest")))
         .select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
         .distinct()
     )
@@ -287,10 +299,10 @@ def ngram_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     first = linked(stars.df)
     merged = stage(components(first.df))
-    labelled = members.df.drop("centre").join(merged.df, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = members.df.join(merged.df, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = stage(labelled.select("gram", "node", "n", "rest", "label"))
     across = stage(products(labelled.df, block).join(stars.df, ["a", "b"], "left_anti"))
-    release(spark, columns, members, labelled, merged)
+    release(spark, centres, members, labelled, merged)
     second = linked(across.df)
     final = stage(components(first.df.unionAll(second.df)))
     labelled = reps.df.select("digest", "node", "doc_id").join(final.df, "node", "left").withColumn("label", F.coalesce("label", "node"))
