@@ -3,7 +3,7 @@
 Vectors of one tree get one more component that brings them to equal length; then the order by inner
 product is the order by Euclidean distance, a metric. A node is a page of routing vectors, each with the
 covering radius of its subtree and its distance to the node's own routing vector. The search takes the
-nearest open node first, and leaves out by the triangle inequality, before computing any distance, what
+nearest open page first, for all queries that have it open, and leaves out by the triangle inequality, before computing any distance, what
 the stored distances show to be too far.
 """
 
@@ -24,6 +24,11 @@ from ..staging import stage
 PAGE = 64
 BRANCHES = 16
 TREE_ROWS = 8192
+#: Queries that pass through a tree together.
+ASKED = 1024
+
+#: The score of a missing result; all scores are higher.
+NONE = -(1 << 62)
 
 FOUND_DDL = "query_id long, vec_id long, score long"
 
@@ -82,39 +87,59 @@ class MTree:
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
         """(score, id) of the ``k`` best rows other than the query's own; ties to the smaller id."""
-        point = np.append(query.astype(np.float64), 0.0)
-        square = float(point @ point)
+        score, ids = self.search_all(np.array([query_id]), query[None], k)
+        return [(s, i) for s, i in zip(score[0].tolist(), ids[0].tolist(), strict=True) if s > NONE]
+
+    def search_all(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(score, id) rows of the ``k`` best of each query, best first; ``NONE`` where there are fewer.
+
+        All queries that have a page open meet it at once, so that a page is read once and its distances are one matrix
+        product. The page nearest to any of them comes first; a query leaves a page when its bound has passed it by.
+        """
+        n = len(query_ids)
+        queries = queries.astype(np.float64)
+        points = np.column_stack([queries, np.zeros(n)])
+        square = np.einsum("ij,ij->i", queries, queries)
         slack = self.slack + 1e-9 * np.sqrt(square)
-        best: list[tuple[int, int]] = []
-        bound = np.inf
-        open_ = [(0.0, self.root, float(np.sqrt(((point - self.root_centre) ** 2).sum())))]
+        score, found = np.full((n, k), NONE), np.full((n, k), -1, np.int64)
+        bound = np.full(n, np.inf)
+        everyone = np.arange(n)
+        open_ = [(0.0, self.root, everyone, _norms(points - self.root_centre), np.zeros(n))] if n else []
         while open_:
-            least, number, from_parent = heapq.heappop(open_)
-            if least > bound + slack:
-                break
+            _, number, own, from_parent, least = heapq.heappop(open_)
+            still = least <= bound[own] + slack[own]
+            if not still.any():
+                continue
+            own, from_parent = own[still], from_parent[still]
             page = self.pages[number]
-            away = np.abs(from_parent - page.to_parent)
+            reach = bound[own] + slack[own]
+            away = np.abs(from_parent[:, None] - page.to_parent)
             if page.rows is not None:
-                rows = page.rows[away <= bound + slack]
-                score = self.vectors[rows] @ point[:-1]
-                own = self.ids[rows]
-                if len(best) == k:
-                    some = (score >= best[-1][0]) & (own != query_id)
-                else:
-                    some = own != query_id
-                best += zip(score[some].astype(np.int64).tolist(), own[some].tolist(), strict=True)
-                best.sort(key=lambda r: (-r[0], r[1]))
-                del best[k:]
-                if len(best) == k:
-                    bound = float(np.sqrt(max(square + self.top - 2 * best[-1][0], 0.0)))
+                some = (away <= reach[:, None]).any(0)
+                rows = page.rows[some]
+                got = (queries[own] @ self.vectors[rows].T).astype(np.int64)
+                got[query_ids[own][:, None] == self.ids[rows]] = NONE
+                better = np.flatnonzero((got >= score[own, -1][:, None]).any(1))
+                if not len(better):
+                    continue
+                own = own[better]
+                every = np.column_stack([score[own], got[better]])
+                ids = np.column_stack([found[own], np.broadcast_to(self.ids[rows], (len(own), len(rows)))])
+                order = np.lexsort((ids, -every), axis=1)[:, :k]
+                score[own], found[own] = np.take_along_axis(every, order, 1), np.take_along_axis(ids, order, 1)
+                full = own[score[own, -1] > NONE]
+                bound[full] = np.sqrt(np.maximum(square[full] + self.top - 2.0 * score[full, -1], 0.0))
             else:
-                near = np.flatnonzero(away - page.radius <= bound + slack)
-                distance = _norms(page.centres[near] - point)
-                reach = np.maximum(distance - page.radius[near], 0.0)
-                for at, d, low in zip(near.tolist(), distance.tolist(), reach.tolist(), strict=True):
-                    if low <= bound + slack:
-                        heapq.heappush(open_, (low, page.children[at], d))
-        return best
+                near = away - page.radius <= reach[:, None]
+                for at in np.flatnonzero(near.any(0)).tolist():
+                    who = np.flatnonzero(near[:, at])
+                    distance = _norms(points[own[who]] - page.centres[at])
+                    low = np.maximum(distance - page.radius[at], 0.0)
+                    kept = low <= reach[who]
+                    if kept.any():
+                        low = low[kept]
+                        heapq.heappush(open_, (float(low.min()), page.children[at], own[who[kept]], distance[kept], low))
+        return score, found
 
 
 def integer_vectors(table: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -164,30 +189,37 @@ def top_k(table: DataFrame, every: int = 50, k: int = 5, tree_rows: int = TREE_R
             found = []
             flat = batch.column(3).values.to_numpy()
             at = batch.column(3).offsets.to_numpy()
-            for i, (t, asks, key) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
-                if t != number:
-                    number, ids, rows, built = t, [], [], None
-                value = flat[at[i] : at[i + 1]]
-                if not asks:
-                    ids.append(key)
-                    rows.append(value.copy())
+            numbers, asking, keys = (batch.column(c).to_numpy() for c in range(3))
+            cuts = np.flatnonzero((numbers[1:] != numbers[:-1]) | (asking[1:] != asking[:-1])) + 1
+            for part in np.split(np.arange(len(keys)), cuts):
+                if not len(part):
+                    continue
+                if numbers[part[0]] != number:
+                    number, ids, rows, built = numbers[part[0]], [], [], None
+                values = [flat[at[i] : at[i + 1]] for i in part.tolist()]
+                if not asking[part[0]]:
+                    ids += keys[part].tolist()
+                    rows += [v.copy() for v in values]
                     continue
                 if built is None:
-                    width = max(map(len, rows), default=0)
-                    built = MTree(np.array(ids, np.int64), matrix(rows, width), page)
+                    built = MTree(np.array(ids, np.int64), matrix(rows, max(map(len, rows), default=0)), page)
                     rows = []
-                width = built.vectors.shape[1]
                 # components beyond all stored vectors meet zeros only
-                query = np.zeros(width, np.int64)
-                query[: min(width, len(value))] = value[:width]
-                found += [(key, other, score) for score, other in built.search(key, query, k)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[c] for r in found], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"]
-            )
-
+                width = built.vectors.shape[1]
+                for lo in range(0, len(part), ASKED):
+                    some = part[lo : lo + ASKED]
+                    score, other = built.search_all(keys[some], matrix([v[:width] for v in values[lo : lo + ASKED]], width), k)
+                    who, place = np.nonzero(score > NONE)
+                    found.append((keys[some][who], other[who, place], score[who, place]))
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"]
+                )
+
+    # trees have a partition each up to a number of partitions; a hash would put several into one and leave others empty
     found = (
         stored.unionByName(asked)
-        .repartition(parts, "tree")
+        .repartitionById(min(trees, 4 * parts), F.pmod("tree", F.lit(min(trees, 4 * parts))))
         .sortWithinPartitions("tree", "query", "vec_id")
         .mapInArrow(run, FOUND_DDL)
     )
