@@ -443,13 +443,17 @@ def without_passages(docs: DataFrame, found: DataFrame, text: str = "text") -> D
 
     A document of whose words none is left goes; all others keep their columns.
     """
-    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("_spans"))
+    # a name that no column of the table has
+    own = "_spans"
+    while own in docs.columns:
+        own += "_"
+    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cut, keep = [], []
             at = batch.schema.get_field_index(text)
-            for value, spans_here in zip(batch.column(at), batch.column("_spans").to_pylist(), strict=True):
+            for value, spans_here in zip(batch.column(at), batch.column(len(docs_schema)).to_pylist(), strict=True):
                 if spans_here is None:
                     cut.append(value.as_py())
                     keep.append(True)
@@ -470,4 +474,4 @@ def without_passages(docs: DataFrame, found: DataFrame, text: str = "text") -> D
             yield pa.RecordBatch.from_arrays(columns, names=docs_schema.names).filter(pa.array(keep, pa.bool_()))
 
     docs_schema = docs.schema
-    return docs.join(stage(spans).df, "doc_id", "left").select(*docs.columns, "_spans").mapInArrow(run, docs_schema)
+    return docs.join(stage(spans).df, "doc_id", "left").select(*docs.columns, own).mapInArrow(run, docs_schema)

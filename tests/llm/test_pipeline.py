@@ -50,10 +50,10 @@ def test_stages_do_their_part(spark):
 
 
 def test_empty_and_odd_tables(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept string"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept string, _spans string, _digest string, node long"
     rng = random.Random(4)
     text = prose(rng, 200)
-    for rows in ([], [(1, None, None, None, None, "x", "y")], [(None, text, "en", None, 5, "x", None), (2, text, "en", None, 5, None, "y"), (2, text, "en", None, 5, None, "y")]):
+    for rows in ([], [(1, None, None, None, None, "x", "y", None, "p", 1)], [(None, text, "en", None, 5, "x", None, "s", "d", 2), (2, text, "en", None, 5, None, "y", "s", None, 3), (2, text, "en", None, 5, None, "y", "s", None, 3)]):
         df = spark.createDataFrame(rows, schema)
         for name, step in corpus_pipeline.STAGES[:-1]:
             df = step(spark, df, "")
