@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..staging import stage
+from ..staging import release, stage
+from .ngram_join import BLOCK, heads, meeting, products
 from .text import mix, shingles, slices, words
 
 SHINGLE = 5
@@ -149,7 +150,7 @@ def compare(
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of each pair of ids (a, b): shingles of both, set distance and whether it is a link."""
+    """Of each pair of nodes (a, b): shingles of both, set distance and whether it is a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,108 +173,90 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     names=["a", "b", "n_a", "n_b", "distance", "linked"],
                 )
 
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(run, "a long, b long, n_a long, n_b long, distance long, linked boolean")
 
 
-def shingle_sets(texts: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of (doc_id, text): the labelled shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in slices(batch.column(1)):
-                value, row, _ = shingles(words(batch.column(1).slice(lo, hi - lo)), SHINGLE)
-                at = np.searchsorted(row, np.arange(hi - lo + 1))
-                sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(labelled(value, row).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], names=["doc_id", "shingles"])
-
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
-
-
-def can_link(common: Column, n: Column) -> Column:
-    """Whether so many of both texts' ``n`` shingles in common can reach ``SIMILARITY`` (4 / 5), in whole numbers."""
-    return common * 9 >= n * 4
+def labelled_entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled shingles and rows of a text column, sorted by both."""
+    value, row, _ = shingles(words(column), SHINGLE)
+    value = labelled(value, row)
+    order = np.lexsort((value, row))
+    return value[order], row[order]
 
 
 def _classes(links: DataFrame) -> DataFrame:
     edges = links.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     found = connected_components(edges, key=None)
-    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("class_id"))
+    return found.select("node", F.col("component").alias("class_id"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Every row's doc_id with ``class_id``, the smallest id of its class, and ``n_links``.
 
     Exact copies fall together by digest and only one of them is sketched further. In each bucket of equal
-    sketches all members are aligned with one centre, the member that shares the most sketches with others;
-    then, where a bucket still holds several classes, every pair across classes is weighed inside the join:
-    what the lengths, the distances to the centre (they are a metric) or the shingles in common rule out
-    makes no row, and what is left is aligned too. So no link between candidates is lost and a large group
-    of copies makes no pairs.
+    sketches all members are aligned with one centre, the member that shares the most sketches with others. Where a
+    bucket still holds several classes, its members look for partners of other classes through an index of
+    their rare shingles: two texts at the similarity have one of them in common early in both, and where they
+    first do, what is left of both bounds what they have in common. Members of one class are never compared, so a
+    large group of copies makes no pairs. Candidates that the bounds leave are aligned too.
     ``n_links`` counts the verified links of the row's text to other texts.
 
     Texts of fewer than five words are one shingle. Texts without words are near no other text, but empty
     ones are copies of each other; a null text is a class of its own. Rows that share an id are classed each
     by its own text; a null id has a null class. ``digest`` tells which text a row had. An empty table gives no rows; other columns are not carried.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spark = docs.sparkSession
     known = docs.where(F.col("doc_id").isNotNull())
     sketched = stage(sketch_table(known)).df
-    reps = stage(
-        sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
-    ).df
-    keyed = reps.select("rep", F.explode("sketch").alias("key")).distinct()
-    shared = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")).df
-    bucketed = stage(keyed.join(shared, "key")).df
-    weight = stage(bucketed.groupBy("rep").agg(F.sum("n").alias("weight"))).df
-    heaviest = F.max_by("rep", F.struct(F.col("weight"), -F.col("rep"))).alias("centre")
-    centres = stage(bucketed.join(weight, "rep").groupBy("key").agg(heaviest)).df
-    members = stage(bucketed.select("key", "rep").join(centres, "key")).df
-    needed = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = stage(known.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))).df
-    stars = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    first = stage(verify(stars, texts)).df
-    merged = _classes(first)
-    measured = (
-        members.join(first.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "n_b", "distance"), ["centre", "rep"])
-        .join(merged.withColumnRenamed("doc_id", "rep"), "rep", "left")
-        .select("key", "rep", F.col("n_b").alias("n"), "distance", F.coalesce("class_id", "rep").alias("class_id"))
-    )
-    measured = stage(measured).df
-    split = measured.groupBy("key").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo < hi")
-    left_open = stage(measured.join(split.select("key"), "key", "left_semi")).df
-    ids = left_open.select(F.col("rep").alias("doc_id")).distinct()
-    contents = stage(shingle_sets(texts.join(ids, "doc_id", "left_semi"))).df
-    left_open = left_open.join(contents.withColumnRenamed("doc_id", "rep"), "rep")
-    x, y = left_open.alias("x"), left_open.alias("y")
-    n, gap = F.col("x.n") + F.col("y.n"), F.lit((1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9)
-    common = F.size(F.array_intersect("x.shingles", "y.shingles"))
-    across = (
-        x.join(
-            y,
-            (F.col("x.key") == F.col("y.key"))
-            & (F.col("x.class_id") < F.col("y.class_id"))
-            & (F.abs(F.col("x.n") - F.col("y.n")) <= n * gap)
-            & (F.abs(F.col("x.distance") - F.col("y.distance")) <= n * gap)
-            & can_link(common, n),
-        )
-        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-        .distinct()
-    )
-    second = stage(verify(across, texts)).df
-    links = first.unionByName(second)
+    of_text = sketched.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
+    reps = stage(of_text.withColumn("node", F.monotonically_increasing_id())).df
+    keyed = reps.select("node", F.explode("sketch").alias("key")).distinct()
+    shared = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    bucketed = stage(keyed.join(shared.df, "key"))
+    weight = stage(bucketed.df.groupBy("node").agg(F.sum("n").alias("weight")))
+    heaviest = F.max_by("node", F.struct(F.col("weight"), -F.col("node"))).alias("centre")
+    centres = stage(bucketed.df.join(weight.df, "node").groupBy("key").agg(heaviest))
+    members = stage(bucketed.df.select("key", "node").join(centres.df, "key"))
+    release(spark, shared, bucketed, weight, centres)
+    needed = members.df.select("node").distinct().join(reps.select("node", "doc_id", "digest"), "node")
+    # of rows that share an id the text with the digest is meant
+    of_node = known.withColumn("digest", F.md5("text")).join(needed, ["doc_id", "digest"])
+    texts = stage(of_node.groupBy("node").agg(F.min("text").alias("text")))
+    stars = members.df.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    first = stage(verify(stars, texts.df))
+    links = first.df
+    merged = stage(_classes(first.df))
+    classed = members.df.join(merged.df, "node", "left").select("key", "node", F.coalesce("class_id", "node").alias("label"))
+    classed = stage(classed)
+    split = classed.df.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    left_open = stage(classed.df.join(split.select("key"), "key", "left_semi").select("node", "label").distinct())
+    if not left_open.df.isEmpty():
+        open_texts = texts.df.join(left_open.df.select("node"), "node", "left_semi").withColumnRenamed("node", "doc_id")
+        rows = stage(heads(open_texts, labelled_entries).select(F.col("doc_id").alias("node"), "n", "grams"))
+        posted = rows.df.select("node", "n", F.posexplode("grams").alias("pos", "gram"))
+        posted = meeting(posted.select("gram", "node", "n", (F.col("n") - F.col("pos")).alias("rest")))
+        across = products(posted.df.join(left_open.df, "node").select("gram", "node", "n", "rest", "label"), block)
+        tried = first.df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        second = stage(verify(stage(across.join(tried, ["a", "b"], "left_anti")).df, texts.df))
+        links = first.df.unionByName(second.df)
+        release(spark, rows, posted)
     classes = stage(_classes(links)).df
     both = links.where("linked").select("a", "b").distinct()
     degree = stage(
-        both.select(F.col("a").alias("rep")).unionAll(both.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+        both.select(F.col("a").alias("node")).unionAll(both.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     ).df
+    release(spark, members, texts, merged, classed, left_open)
+    named = reps.select("digest", "doc_id", "node").join(classes, "node", "left").withColumn("label", F.coalesce("class_id", "node"))
+    smallest = stage(named.groupBy("label").agg(F.min("doc_id").alias("class_id"))).df
     of_text = stage(
-        reps.select("digest", "rep")
-        .join(classes.withColumnRenamed("doc_id", "rep"), "rep", "left")
-        .join(degree, "rep", "left")
-        .select("digest", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        named.drop("class_id")
+        .join(smallest, "label")
+        .join(degree, "node", "left")
+        .select("digest", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     ).df
     out = sketched.join(of_text, "digest").select("doc_id", "class_id", "n_links", "digest")
     none = docs.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long"), F.lit(0).cast("long"), F.md5("text"))
@@ -281,13 +264,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of the smallest id of each class, repeated rows once; rows without an id stay."""
+    """The rows of the smallest id of each class, repeated rows once; rows without an id stay.
+
+    The rows travel as one column, so that no column of the table clashes with what is added here.
+    """
     found = stage(near_duplicates(docs)).df
-    gone = found.where("doc_id <> class_id").select("doc_id", F.col("digest").alias("_digest")).distinct()
+    gone = stage(found.where("doc_id <> class_id").select("doc_id", "digest").distinct()).df
     repeated = stage(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL")).df
-    left = docs.withColumn("_digest", F.md5("text")).join(stage(gone).df, ["doc_id", "_digest"], "left_anti").select(*docs.columns)
-    if repeated.isEmpty():
-        return left
-    ids = repeated.select("doc_id")
-    once = left.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(ids, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    digest = F.md5(F.col("text").cast("string")).alias("digest")
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    left = held.join(gone, ["doc_id", "digest"], "left_anti")
+    if not repeated.isEmpty():
+        ids = repeated.select("doc_id")
+        once = left.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "digest"])
+        left = left.join(ids, "doc_id", "left_anti").unionByName(once)
+    return left.select("row.*")
