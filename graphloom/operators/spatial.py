@@ -337,19 +337,23 @@ def segment_intersections(segs: DataFrame, key: Key = GRAPH, side: float = 16.0)
         (c("a__ax") <= c("b__bx")) & (c("b__ax") <= c("a__bx")) & (c("a__ay") <= c("b__by")) & (c("b__ay") <= c("a__by"))
     )
     pairs = a.join(b, [*by, "_cx", "_cy"]).where((c("a_seg") < c("b_seg")) & first_shared & overlap)
-    d12x, d13x, d34x = c("a_x1") - c("a_x2"), c("a_x1") - c("b_x1"), c("b_x1") - c("b_x2")
-    d12y, d13y, d34y = c("a_y1") - c("a_y2"), c("a_y1") - c("b_y1"), c("b_y1") - c("b_y2")
-    det = d12x * d34y - d12y * d34x
-    solved = pairs.where(det != 0).withColumns(
-        {"t": (d13x * d34y - d13y * d34x) / det, "u": (d13x * d12y - d13y * d12x) / det}
-    )
-    return solved.where("t between 0 and 1 and u between 0 and 1").select(
-        *by,
-        c("a_seg").alias("seg_a"),
-        c("b_seg").alias("seg_b"),
-        (c("a_x1") + c("t") * (c("a_x2") - c("a_x1"))).alias("x"),
-        (c("a_y1") + c("t") * (c("a_y2") - c("a_y1"))).alias("y"),
+    # p + t * r = q + u * s: the cross product with s leaves t alone, the one with r leaves u
+    p, q = ((c(f"{k}_x1"), c(f"{k}_y1")) for k in "ab")
+    r, s = ((c(f"{k}_x2") - c(f"{k}_x1"), c(f"{k}_y2") - c(f"{k}_y1")) for k in "ab")
+    gap = (q[0] - p[0], q[1] - p[1])
+
+    def cross(v, w):
+        return v[0] * w[1] - v[1] * w[0]
+
+    inside = [F.col(k).between(0, 1) for k in ("t", "u")]
+    met = (
+        pairs.withColumn("area", cross(r, s))
+        .where("area <> 0")
+        .withColumns({"t": cross(gap, s) / c("area"), "u": cross(gap, r) / c("area")})
+        .where(inside[0] & inside[1])
     )
+    x, y = (p[i] + c("t") * r[i] for i in (0, 1))
+    return met.select(*by, c("a_seg").alias("seg_a"), c("b_seg").alias("seg_b"), x.alias("x"), y.alias("y"))
 
 
 def exclude_existing(candidates: DataFrame, existing: DataFrame, on: list[str]) -> DataFrame:

@@ -198,7 +198,7 @@ def _(spark, sf):
     with_views(
         f"""WITH s AS (SELECT graph_id, node_id, value, min(value) OVER g AS lo, max(value) OVER g AS hi
               FROM points WINDOW g AS (PARTITION BY graph_id)),
-            l AS (SELECT graph_id, node_id, (value - (hi + lo) / 2) / (hi - lo) * (1 - lo) + (1 + lo) / 2 AS w FROM s)
+            l AS (SELECT graph_id, node_id, lo + (value - lo) * (1 - lo) / (hi - lo) AS w FROM s)
             SELECT graph_id, node_id AS src, node_id AS dst, {rd('w')} AS weight FROM l WHERE w > 0.7
             UNION ALL SELECT graph_id, src, dst, CAST(1 AS DOUBLE) FROM point_edges""",
         "points",

@@ -215,13 +215,14 @@ def _(spark, sf):
     with_views(
         f"""WITH s AS (SELECT e.graph_id, e.src * 1000003 + e.dst AS seg, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2
               FROM point_edges e JOIN points a ON a.node_id = src JOIN points b ON b.node_id = dst),
-            p AS (SELECT a.graph_id, a.seg AS seg_a, b.seg AS seg_b, a.x1, a.y1, a.x2, a.y2,
-                (a.x1 - a.x2) * (b.y1 - b.y2) - (a.y1 - a.y2) * (b.x1 - b.x2) AS det,
-                (a.x1 - b.x1) * (b.y1 - b.y2) - (a.y1 - b.y1) * (b.x1 - b.x2) AS tn,
-                (a.x1 - b.x1) * (a.y1 - a.y2) - (a.y1 - b.y1) * (a.x1 - a.x2) AS un
-              FROM s a JOIN s b ON a.graph_id = b.graph_id AND a.seg < b.seg)
-            SELECT graph_id, count(*) AS n, {rd('sum(x1 + tn / det * (x2 - x1))', 4)} AS sum_x, {rd('sum(y1 + tn / det * (y2 - y1))', 4)} AS sum_y FROM p
-            WHERE det <> 0 AND tn / det BETWEEN 0 AND 1 AND un / det BETWEEN 0 AND 1 GROUP BY ALL""",
+            d AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy FROM s),
+            p AS (SELECT a.graph_id, a.seg AS seg_a, b.seg AS seg_b, b.x1, b.y1, b.dx, b.dy,
+                a.dx * b.dy - b.dx * a.dy AS area,
+                (b.x1 - a.x1) * b.dy - b.dx * (b.y1 - a.y1) AS along_a,
+                (b.x1 - a.x1) * a.dy - a.dx * (b.y1 - a.y1) AS along_b
+              FROM d a JOIN d b ON a.graph_id = b.graph_id AND a.seg < b.seg)
+            SELECT graph_id, count(*) AS n, {rd('sum(x1 + along_b / area * dx)', 4)} AS sum_x, {rd('sum(y1 + along_b / area * dy)', 4)} AS sum_y FROM p
+            WHERE area <> 0 AND along_a / area BETWEEN 0 AND 1 AND along_b / area BETWEEN 0 AND 1 GROUP BY ALL""",
         "points",
         "point_edges",
     ),

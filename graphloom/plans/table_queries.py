@@ -491,13 +491,15 @@ def _(spark, sf):
 @query(
     "rescale_weights",
     with_views(
-        f"""SELECT graph_id, src, dst, {rd('(weight - (hi + lo) / 2) / (hi - lo) * 0.9999 + 1.0001 / 2', 9)} AS weight FROM (
+        f"""SELECT graph_id, src, dst, {rd('0.0001 + (weight - lo) * 0.9999 / (hi - lo) + 3e-11', 9)} AS weight FROM (
               SELECT *, min(weight) OVER g AS lo, max(weight) OVER g AS hi FROM weighted_edges WINDOW g AS (PARTITION BY graph_id))""",
         "weighted_edges",
     ),
 )
 def _(spark, sf):
-    return sl.minmax_scale(weighted_edges(spark, sf), "weight", 0.0001, 1.0, "graph_id").withColumn("weight", r("weight", 9))
+    scaled = sl.minmax_scale(weighted_edges(spark, sf), "weight", 0.0001, 1.0, "graph_id")
+    # past the ties that shares of small whole numbers make
+    return scaled.withColumn("weight", r(F.col("weight") + 3e-11, 9))
 
 
 @query("boxcox_rescale")
