@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import community as cm
 from ..operators import features as ft
+from ..operators import multi_source as ms
 from ..operators import paths as pt
 from ..operators import structure as st
 from ..operators import tables as tb
@@ -59,7 +60,7 @@ PAIRS_SQL = """WITH RECURSIVE far(graph_id, s, node, hops) USING KEY (graph_id,
     ),
 )
 def _(spark, sf):
-    return pt.average_shortest_path(pt.path_sums(simple_edges(spark, sf))).withColumn("avg_path", r("avg_path"))
+    return pt.average_shortest_path(ms.hop_sums(simple_edges(spark, sf))).withColumn("avg_path", r("avg_path"))
 
 
 @query(
@@ -69,7 +70,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return pt.path_sums(simple_edges(spark, sf)).select("graph_id", "node", "eccentricity")
+    return ms.hop_sums(simple_edges(spark, sf)).select("graph_id", "node", "eccentricity")
 
 
 @query(
@@ -81,7 +82,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return pt.path_length_histogram(simple_edges(spark, sf))
+    return ms.hop_histogram(simple_edges(spark, sf))
 
 
 @query(
@@ -126,6 +127,30 @@ def _(spark, sf):
     return b.groupBy("graph_id").agg(r(F.sum("betweenness")).alias("total"))
 
 
+@query(
+    "betweenness_nodes",
+    with_views(
+        f"""WITH RECURSIVE far(graph_id, s, node, hops, paths) USING KEY (graph_id, s, node) AS (
+              SELECT graph_id, node, node, 0, CAST(1 AS DOUBLE) FROM degrees
+              UNION
+              SELECT f.graph_id, f.s, b.w, min(f.hops + 1), sum(f.paths) FROM far f JOIN both_ways b ON b.graph_id = f.graph_id AND b.u = f.node
+              LEFT JOIN recurring.far o ON o.graph_id = f.graph_id AND o.s = f.s AND o.node = b.w
+              WHERE o.hops IS NULL GROUP BY f.graph_id, f.s, b.w),
+            n AS (SELECT graph_id, count(*) AS n FROM degrees GROUP BY ALL),
+            inner_paths AS (SELECT x.graph_id, x.node, sum(x.paths * y.paths / z.paths) AS b
+              FROM far x JOIN far y ON y.graph_id = x.graph_id AND y.s = x.node
+              JOIN far z ON z.graph_id = x.graph_id AND z.s = x.s AND z.node = y.node
+              WHERE x.s <> x.node AND y.s <> y.node AND z.hops = x.hops + y.hops GROUP BY x.graph_id, x.node)
+            SELECT d.graph_id, d.node, {rd('CASE WHEN n > 2 THEN COALESCE(b, 0) / ((n - 1) * (n - 2)) ELSE 0 END', 8)} AS betweenness
+            FROM degrees d JOIN n USING (graph_id) LEFT JOIN inner_paths USING (graph_id, node)""",
+        "degrees",
+        "both_ways",
+    ),
+)
+def _(spark, sf):
+    return pt.betweenness_joins(simple_edges(spark, sf)).withColumn("betweenness", r("betweenness", 8))
+
+
 @query("community_detection")
 def _(spark, sf):
     return cm.community_detection(weighted_edges(spark, sf))
@@ -148,7 +173,7 @@ def _(spark, sf):
     edges = simple_edges(spark, sf)
     size = tb.density_and_sparsity(edges)
     cl = st.average_clustering(st.clustering_coefficient(edges))
-    far = pt.average_shortest_path(pt.path_sums(edges))
+    far = pt.average_shortest_path(ms.hop_sums(edges))
     out = size.join(tb.average_degree(edges), "graph_id").join(cl, "graph_id").join(far, "graph_id")
     return out.select(
         "graph_id",

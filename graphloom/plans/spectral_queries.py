@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import log_grid
 from ..operators import curves as cv
 from ..operators import histogram as hg
+from ..operators import iterative as it
 from ..operators import spectral as sp
 from ..operators import tables as tb
 from .graph_queries import COMP_SQL, simple_edges, weighted_edges
@@ -348,3 +349,62 @@ def odd_even_pairs(spark, sf):
 )
 def _(spark, sf):
     return cv.curve_sse(odd_even_pairs(spark, sf)).select(r("sse", 8).alias("sse"), r("fitness", 3).alias("fitness"))
+
+
+HUB_ROW = "CASE WHEN node = -1 THEN 1.0 / n + leaves * fast / n ELSE (1 - fast) / n END"
+LEAF_ROW = """CASE WHEN node = -1 THEN (1 - fast) / n
+    ELSE 1.0 / n + fast / (n * leaves) - slow / leaves + CASE WHEN node = one THEN slow ELSE 0 END END"""
+
+
+@query(
+    "heat_kernel_rows",
+    with_views(
+        f"""WITH one AS (SELECT graph_id, min(dst) AS one FROM order_items GROUP BY ALL),
+            e AS (SELECT *, leaves + 1 AS n, exp(-0.5) AS slow, exp(-0.5 * (leaves + 1)) AS fast FROM stars JOIN one USING (graph_id)),
+            ends AS (SELECT graph_id, dst AS node FROM order_items UNION ALL SELECT graph_id, -1 FROM stars)
+            SELECT graph_id, CAST(-1 AS BIGINT) AS source, node, {rd(HUB_ROW)} AS value FROM e JOIN ends USING (graph_id)
+            UNION ALL SELECT graph_id, one, node, {rd(LEAF_ROW)} FROM e JOIN ends USING (graph_id)""",
+        "stars",
+        "order_items",
+    ),
+)
+def _(spark, sf):
+    """Rows of the hub and of the first leaf of every order."""
+    edges = order_items(spark, sf)
+    first = edges.groupBy("graph_id").agg(F.min("dst").alias("leaf"))
+    sources = first.select("graph_id", F.explode(F.array(F.lit(-1).cast("long"), "leaf")).alias("source"))
+    return it.heat_kernel_rows(edges, sources, 0.5).withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
+@query(
+    "pair_resistance",
+    f"""WITH c AS (SELECT CAST(n_regionkey AS BIGINT) AS graph_id, n_nationkey, min(c_custkey) AS least, max(c_custkey) AS most,
+          1.0 / (1 + n_nationkey % 3) AS up
+          FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
+        SELECT graph_id, CAST(-2 - n_nationkey AS BIGINT) AS a, CAST(-1 AS BIGINT) AS b, {rd('up')} AS resistance FROM c
+        UNION ALL SELECT graph_id, most, -1, {rd('1 + up')} FROM c
+        UNION ALL SELECT graph_id, least, most, {rd('CASE WHEN least = most THEN 0 ELSE 2 END')} FROM c
+        UNION ALL SELECT x.graph_id, x.most, y.most, {rd('2 + x.up + y.up')}
+          FROM c x JOIN c y ON x.graph_id = y.graph_id AND x.n_nationkey < y.n_nationkey""",
+)
+def _(spark, sf):
+    """Trees of region, nations and customers: between nations and root, and between customers near and far."""
+    nation = table(spark, sf, "nation").select(F.col("n_regionkey").cast("long").alias("graph_id"), F.col("n_nationkey").cast("long").alias("nation"))
+    customer = table(spark, sf, "customer").select(F.col("c_nationkey").cast("long").alias("nation"), F.col("c_custkey").cast("long").alias("customer"))
+    below = customer.join(nation, "nation")
+    hub = (-2 - F.col("nation")).alias("src")
+    down = below.select("graph_id", hub, F.col("customer").alias("dst"), F.lit(1.0).alias("weight"))
+    up = below.select("graph_id", "nation").distinct()
+    up = up.select("graph_id", hub, F.lit(-1).cast("long").alias("dst"), (1.0 + F.pmod("nation", F.lit(3))).alias("weight"))
+    ends = below.groupBy("graph_id", "nation").agg(F.min("customer").alias("least"), F.max("customer").alias("most"))
+    root = F.lit(-1).cast("long").alias("b")
+    x, y = ends.alias("x"), ends.alias("y")
+    far = x.join(y, (F.col("x.graph_id") == F.col("y.graph_id")) & (F.col("x.nation") < F.col("y.nation")))
+    pairs = (
+        ends.select("graph_id", (-2 - F.col("nation")).alias("a"), root)
+        .unionByName(ends.select("graph_id", F.col("most").alias("a"), root))
+        .unionByName(ends.select("graph_id", F.col("least").alias("a"), F.col("most").alias("b")))
+        .unionByName(far.select(F.col("x.graph_id").alias("graph_id"), F.col("x.most").alias("a"), F.col("y.most").alias("b")))
+    )
+    found = it.pair_resistance(down.unionByName(up), pairs)
+    return found.select("graph_id", "a", "b", (F.round("resistance", 6) + F.lit(0.0)).alias("resistance"))
