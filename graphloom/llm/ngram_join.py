@@ -28,6 +28,8 @@ SHINGLE = 5
 ORDER_SAMPLE = 8192
 ORDER_ENTRIES = 1 << 18
 ORDER_SEEN = 6
+#: Bits that tell most of the ids whose texts are not read again.
+FILTER_BITS = 1 << 24
 #: Rows of a column that one block holds, and products computed at once.
 BLOCK = 8192
 PRODUCTS = 1 << 20
@@ -117,6 +119,22 @@ def heads(docs: DataFrame, entries: Entries = incidence) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, grams array<long>")
 
 
+def likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id may be among those of ``wanted``, so that few other texts are shuffled.
+
+    The ids are marked in a bitmap of fixed size, at most 2^18 rows of 64 bits, which is what is broadcast.
+    """
+
+    def place(col: str):
+        return F.pmod(F.xxhash64(col), F.lit(FILTER_BITS))
+
+    bit = F.expr("shiftleft(1L, int(_h % 64))")
+    marked = wanted.select(place("doc_id").alias("_h")).groupBy(F.floor(F.col("_h") / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    placed = docs.withColumn("_h", place("doc_id")).withColumn("_word", F.floor(F.col("_h") / 64))
+    met = placed.join(F.broadcast(stage(marked).df), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
+    return met.select(*docs.columns)
+
+
 def whole_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, grams) with the whole sets of ``wanted`` (node, doc_id, digest)."""
 
@@ -133,7 +151,7 @@ def whole_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield out.filter(pa.array(same, pa.bool_()))
 
     # an id that is null is matched too
-    texts = docs.withColumnRenamed("doc_id", "_id").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")))
+    texts = likely(docs, wanted).withColumnRenamed("doc_id", "_id").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")))
     return texts.select("node", "text", "digest").mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"])
 
 
@@ -273,9 +291,11 @@ def ngram_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
-    of_doc = stage(heads(docs))
-    reps = of_doc.df.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("grams").alias("grams"))
+    headed = stage(heads(docs))
+    of_doc = stage(headed.df.select("doc_id", "n", "digest"))
+    reps = headed.df.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("grams").alias("grams"))
     reps = stage(reps.withColumn("node", F.monotonically_increasing_id()))
+    release(spark, headed)
     exploded = reps.df.select("node", "n", F.posexplode("grams").alias("pos", "gram"))
     postings = exploded.select("gram", "node", "n", (F.col("n") - F.col("pos")).alias("rest"))
     members = meeting(postings)
@@ -292,7 +312,7 @@ def ngram_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def linked(pairs: DataFrame):
         ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-        rows = stage(whole_rows(docs, nodes.join(ends, "node")))
+        rows = stage(whole_rows(docs, stage(nodes.join(ends, "node")).df))
         found = stage(overlapping(pairs, rows.df))
         release(spark, rows)
         return found
