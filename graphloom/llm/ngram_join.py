@@ -160,6 +160,16 @@ def can_meet(n_a: Column, rest_a: Column, n_b: Column, rest_b: Column) -> Column
     return F.least(rest_a, rest_b) * 9 >= need(n_a + n_b)
 
 
+def hopeful(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose heads have enough in common. A common entry outside one head lies in the tail of the
+    row whose head ends first, so the heads' overlap and the longer tail bound the whole overlap."""
+    head = [reps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("grams").alias(f"grams_{x}")) for x in "ab"]
+    shared = F.size(F.array_intersect("grams_a", "grams_b"))
+    tail = F.greatest(*(F.col(f"n_{x}") - F.size(f"grams_{x}") for x in "ab"))
+    both = pairs.join(head[1], "b").join(head[0], "a")
+    return both.where((shared + tail) * 9 >= need(F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def overlapping(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose whole overlap reaches the similarity."""
     a = rows.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"))
@@ -311,6 +321,7 @@ def ngram_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     nodes = reps.df.select("node", "doc_id", "digest")
 
     def linked(pairs: DataFrame):
+        pairs = stage(hopeful(pairs, reps.df)).df
         ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
         rows = stage(whole_rows(docs, stage(nodes.join(ends, "node")).df))
         found = stage(overlapping(pairs, rows.df))
