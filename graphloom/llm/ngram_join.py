@@ -23,11 +23,11 @@ from ..staging import Staged, release, stage
 from .text import shingles, slices, words
 
 SHINGLE = 5
-#: Documents and entries of the sample that orders the columns. The order only steers the work: under any order
-#: the result is the same.
-ORDER_SAMPLE = 8192
-ORDER_ENTRIES = 1 << 18
-ORDER_SEEN = 6
+#: Share of the hash range whose columns are counted and come first in the order, the least count that sets a column
+#: back, and how many such columns the tasks know. The order only steers the work: under any order the result is the same.
+COUNTED = 0.5
+ORDER_SEEN = 4
+ORDER_ENTRIES = 1 << 20
 #: Bits that tell most of the ids whose texts are not read again.
 FILTER_BITS = 1 << 24
 #: Rows of a column that one block holds, and products computed at once.
@@ -54,20 +54,21 @@ Entries = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
 def frequent(docs: DataFrame, entries: Entries = incidence) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the shingles that many sampled documents have, with the magnitude of their count."""
-    total = docs.count()
-    share = 1 << 20
-    cut = share if total <= ORDER_SAMPLE else max(1, share * ORDER_SAMPLE // total)
-    sampled = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) < cut)
+    """Sorted hashes of the counted shingles that several documents have, with the magnitude of their count.
+
+    All documents are counted, so that what a shared passage puts into the heads does not grow with the table.
+    """
+    top = np.uint64(COUNTED * 2.0**64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in slices(batch.column(1)):
-                value, n = np.unique(entries(batch.column(1).slice(lo, hi - lo))[0], return_counts=True)
+            for lo, hi in slices(batch.column(0)):
+                value = entries(batch.column(0).slice(lo, hi - lo))[0]
+                value, n = np.unique(value[value < top], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
     found = (
-        sampled.select("doc_id", "text")
+        docs.select("text")
         .mapInArrow(run, "gram long, n long")
         .groupBy("gram")
         .agg(F.sum("n").alias("n"))
@@ -84,6 +85,7 @@ def frequent(docs: DataFrame, entries: Entries = incidence) -> tuple[np.ndarray,
 def heads(docs: DataFrame, entries: Entries = incidence) -> DataFrame:
     """(doc_id, n, digest, grams): size, digest of the whole set, and the columns in which partners must meet."""
     known, magnitude = frequent(docs, entries)
+    top = np.uint64(COUNTED * 2.0**64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,7 +98,7 @@ def heads(docs: DataFrame, entries: Entries = incidence) -> DataFrame:
                     xxhash.xxh3_128_digest(view[8 * a : 8 * b]) if b > a else None
                     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)
                 ]
-                rank = np.zeros(len(value), np.int8)
+                rank = (value >= top).astype(np.int8)
                 if len(known):
                     slot = np.minimum(np.searchsorted(known, value), len(known) - 1)
                     hit = known[slot] == value
