@@ -3,8 +3,8 @@
 The incidence matrix has a row for each distinct set of shingles and a column for each shingle. Two rows
 can only reach the similarity if they meet in a column early in both rows, under one order of all
 columns; and where they first meet, what is left of both rows bounds their overlap. So the
-product takes the head of each row, leaves out what the sizes exclude, and counts the whole overlap
-for the pairs that are left. Rows of one component are never multiplied with each other.
+product takes the head of each row, leaves out what the sizes and bitmaps of the rows exclude, and counts the
+whole overlap for the pairs that are left. Rows of one component are never multiplied with each other.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ FILTER_BITS = 1 << 24
 #: Rows of a column that one block holds, and products computed at once.
 BLOCK = 8192
 PRODUCTS = 1 << 20
+#: 64-bit words of a row's bitmap, a bit for each value of the top nine bits of a hash.
+WORDS = 8
 
 
 def need(total):
@@ -82,8 +84,22 @@ def frequent(docs: DataFrame, entries: Entries = incidence) -> tuple[np.ndarray,
     return gram[order], np.log2(found["n"].to_numpy()).astype(np.int8)[order]
 
 
+def bitmaps(value: np.ndarray, row: np.ndarray, rows: int) -> list[bytes]:
+    """Which of 512 classes of hashes each row has an entry in."""
+    seen = np.zeros((rows, 64 * WORDS), bool)
+    seen[row, (value >> np.uint64(55)).astype(np.int64)] = True
+    return [line.tobytes() for line in np.packbits(seen, axis=1)]
+
+
+def may_overlap(bits_x: np.ndarray, bits_y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray) -> np.ndarray:
+    """Whether the bitmaps leave enough overlap: a class that only one row has holds an entry the other lacks."""
+    only_x = np.bitwise_count(bits_x & ~bits_y).sum(1, dtype=np.int64)
+    only_y = np.bitwise_count(bits_y & ~bits_x).sum(1, dtype=np.int64)
+    return 9 * np.minimum(n_x - only_x, n_y - only_y) >= need(n_x + n_y)
+
+
 def heads(docs: DataFrame, entries: Entries = incidence) -> DataFrame:
-    """(doc_id, n, digest, grams): size, digest of the whole set, and the columns in which partners must meet."""
+    """(doc_id, n, digest, grams, bits): size, digest and bitmap of the whole set, and the columns in which partners must meet."""
     known, magnitude = frequent(docs, entries)
     top = np.uint64(COUNTED * 2.0**64)
 
@@ -98,6 +114,7 @@ def heads(docs: DataFrame, entries: Entries = incidence) -> DataFrame:
                     xxhash.xxh3_128_digest(view[8 * a : 8 * b]) if b > a else None
                     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)
                 ]
+                bits = bitmaps(value, row, hi - lo)
                 rank = (value >= top).astype(np.int8)
                 if len(known):
                     slot = np.minimum(np.searchsorted(known, value), len(known) - 1)
@@ -114,11 +131,12 @@ def heads(docs: DataFrame, entries: Entries = incidence) -> DataFrame:
                         pa.array(n, pa.int64()),
                         pa.array(digest, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(value[take].view(np.int64))),
+                        pa.array(bits, pa.binary()),
                     ],
-                    names=["doc_id", "n", "digest", "grams"],
+                    names=["doc_id", "n", "digest", "grams", "bits"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, grams array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, grams array<long>, bits binary")
 
 
 def likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -189,8 +207,10 @@ def meeting(postings: DataFrame) -> Staged:
     return members
 
 
-def block_products(node: np.ndarray, n: np.ndarray, rest: np.ndarray, label: np.ndarray) -> Iterator[tuple]:
-    """Pairs of rows of one column with different labels that the sizes leave.
+def block_products(
+    node: np.ndarray, n: np.ndarray, rest: np.ndarray, label: np.ndarray, bits: np.ndarray | None = None
+) -> Iterator[tuple]:
+    """Pairs of rows of one column with different labels that the sizes and, where given, the bitmaps leave.
 
     A row without a partner of a fitting size is left out first. The largest label comes last and is never
     multiplied with itself, so a column with one large class costs the class times the other rows.
@@ -199,12 +219,14 @@ def block_products(node: np.ndarray, n: np.ndarray, rest: np.ndarray, label: np.
     sizes = np.sort(n)
     partners = np.searchsorted(sizes, top, "right") - np.searchsorted(sizes, -(-4 * n // 5), "left") - (top >= n)
     some = partners > 0
-    node, n, rest, label = node[some], n[some], rest[some], label[some]
+    if bits is None:
+        bits = np.zeros((len(n), WORDS), np.uint64)
+    node, n, rest, label, bits = node[some], n[some], rest[some], label[some], bits[some]
     if not len(node):
         return
     _, own, count = np.unique(label, return_inverse=True, return_counts=True)
     order = np.lexsort((own, count[own]))
-    node, n, rest, own = node[order], n[order], rest[order], own[order]
+    node, n, rest, own, bits = node[order], n[order], rest[order], own[order], bits[order]
     last = np.flatnonzero(np.append(own[1:] != own[:-1], True)) + 1
     end = np.repeat(last, np.diff(np.concatenate([[0], last])))
     many = len(node) - end
@@ -215,13 +237,18 @@ def block_products(node: np.ndarray, n: np.ndarray, rest: np.ndarray, label: np.
         x = np.repeat(np.arange(lo, hi), size)
         y = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size) + end[x]
         keep = 9 * np.minimum(rest[x], rest[y]) >= need(n[x] + n[y])
-        x, y = node[x[keep]], node[y[keep]]
-        yield np.minimum(x, y), np.maximum(x, y)
+        x, y = x[keep], y[keep]
+        for at in range(0, len(x), PRODUCTS // 8):
+            i, j = x[at : at + PRODUCTS // 8], y[at : at + PRODUCTS // 8]
+            near = may_overlap(bits[i], bits[j], n[i], n[j])
+            i, j = node[i[near]], node[j[near]]
+            yield np.minimum(i, j), np.maximum(i, j)
         lo = hi
 
 
-def products(members: DataFrame, block: int) -> DataFrame:
-    """Pairs (a, b) of the rows (gram, node, n, rest, label) that meet in a column and have different labels.
+def products(members: DataFrame, bitmap: DataFrame, block: int) -> DataFrame:
+    """Pairs (a, b) of the rows (gram, node, n, rest, label) that meet in a column and have different labels, and
+    whose bitmaps (node, bits) allow a link: near copies just short of one are told apart before they make rows.
 
     A column of more than ``block`` rows is cut into blocks, and every two blocks are multiplied in a task of their own.
     """
@@ -255,7 +282,8 @@ def products(members: DataFrame, block: int) -> DataFrame:
             new = np.flatnonzero((whole[1:, :3] != whole[:-1, :3]).any(1)) + 1
             found = []
             for cell in np.split(whole, new):
-                for pair in block_products(cell[:, 3], cell[:, 4], cell[:, 5], cell[:, 6]):
+                bits = np.ascontiguousarray(cell[:, 7:]).view(np.uint64)
+                for pair in block_products(cell[:, 3], cell[:, 4], cell[:, 5], cell[:, 6], bits):
                     if len(pair[0]) >= PRODUCTS // 4:
                         yield pa.RecordBatch.from_arrays([pa.array(p) for p in pair], names=["a", "b"])
                     elif len(pair[0]):
@@ -267,7 +295,8 @@ def products(members: DataFrame, block: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(np.stack([c.to_numpy() for c in batch.columns], 1))
+            bits = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.int64).reshape(-1, WORDS)
+            held.append(np.column_stack([*(c.to_numpy() for c in batch.columns[:7]), bits]))
             cut = np.flatnonzero((held[-1][:, :3] != held[-1][-1, :3]).any(1))
             # the last cell may go on in the next batch
             at = int(cut[-1]) + 1 if len(cut) else 0
@@ -281,6 +310,7 @@ def products(members: DataFrame, block: int) -> DataFrame:
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = ["gram", "x", "y"]
+    rows = rows.join(bitmap, "node").select(*rows.columns, "bits")
     return rows.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long").distinct()
 
 
@@ -305,7 +335,7 @@ def ngram_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     spark = docs.sparkSession
     headed = stage(heads(docs))
     of_doc = stage(headed.df.select("doc_id", "n", "digest"))
-    reps = headed.df.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("grams").alias("grams"))
+    reps = headed.df.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("grams").alias("grams"), F.first("bits").alias("bits"))
     reps = stage(reps.withColumn("node", F.monotonically_increasing_id()))
     release(spark, headed)
     exploded = reps.df.select("node", "n", F.posexplode("grams").alias("pos", "gram"))
@@ -334,7 +364,7 @@ def ngram_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     merged = stage(components(first.df))
     labelled = members.df.join(merged.df, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = stage(labelled.select("gram", "node", "n", "rest", "label"))
-    across = stage(products(labelled.df, block).join(stars.df, ["a", "b"], "left_anti"))
+    across = stage(products(labelled.df, reps.df.select("node", "bits"), block).join(stars.df, ["a", "b"], "left_anti"))
     release(spark, centres, members, labelled, merged)
     second = linked(across.df)
     final = stage(components(first.df.unionAll(second.df)))

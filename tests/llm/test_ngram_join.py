@@ -3,7 +3,7 @@ import re
 import numpy as np
 
 from graphloom.llm import ngram_join
-from graphloom.llm.ngram_join import block_products, ngram_components
+from graphloom.llm.ngram_join import bitmaps, block_products, may_overlap, ngram_components
 
 
 def shingle_set(text):
@@ -115,3 +115,20 @@ def test_products_leave_out_one_class():
             if label[i] != label[j] and 9 * min(rest[i], rest[j]) >= 4 * (n[i] + n[j])
         }
         assert got == want
+
+
+def test_bitmaps_never_exclude_a_link():
+    rng = np.random.default_rng(11)
+    told = 0
+    for _ in range(600):
+        n = int(rng.integers(1, 700))
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        other = base.copy()
+        swap = rng.random(n) < rng.random() * 0.4
+        other[swap] = rng.integers(0, 2**64, int(swap.sum()), dtype=np.uint64)
+        bits = [np.frombuffer(bitmaps(v, np.zeros(n, np.int64), 1)[0], np.uint64)[None] for v in (base, other)]
+        near = bool(may_overlap(bits[0], bits[1], np.array([n]), np.array([n]))[0])
+        both = len(np.intersect1d(base, other))
+        assert near or 100 * both < 80 * (2 * n - both)
+        told += not near
+    assert told > 100
