@@ -33,7 +33,8 @@ FILTER_BITS = 1 << 24
 #: Rows of a column that one block holds, and products computed at once.
 BLOCK = 8192
 PRODUCTS = 1 << 20
-#: 64-bit words of a row's bitmap, a bit for each value of the top nine bits of a hash.
+#: 64-bit words of a row's bitmap, a bit for each value of the top nine bits of a hash. A bit tells an odd count, which says
+#: as much of long rows as of short ones, where most classes have an entry.
 WORDS = 8
 
 
@@ -85,17 +86,16 @@ def frequent(docs: DataFrame, entries: Entries = incidence) -> tuple[np.ndarray,
 
 
 def bitmaps(value: np.ndarray, row: np.ndarray, rows: int) -> list[bytes]:
-    """Which of 512 classes of hashes each row has an entry in."""
-    seen = np.zeros((rows, 64 * WORDS), bool)
-    seen[row, (value >> np.uint64(55)).astype(np.int64)] = True
-    return [line.tobytes() for line in np.packbits(seen, axis=1)]
+    """Of which of 512 classes of hashes each row has an odd number of entries."""
+    width = 64 * WORDS
+    count = np.bincount(row * width + (value >> np.uint64(55)).astype(np.int64), minlength=rows * width)
+    return [line.tobytes() for line in np.packbits((count & 1).astype(bool).reshape(rows, width), axis=1)]
 
 
 def may_overlap(bits_x: np.ndarray, bits_y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray) -> np.ndarray:
-    """Whether the bitmaps leave enough overlap: a class that only one row has holds an entry the other lacks."""
-    only_x = np.bitwise_count(bits_x & ~bits_y).sum(1, dtype=np.int64)
-    only_y = np.bitwise_count(bits_y & ~bits_x).sum(1, dtype=np.int64)
-    return 9 * np.minimum(n_x - only_x, n_y - only_y) >= need(n_x + n_y)
+    """Whether the bitmaps leave enough overlap: in a class odd in one row only, at least one entry is not in both."""
+    differ = np.bitwise_count(bits_x ^ bits_y).sum(1, dtype=np.int64)
+    return 9 * (n_x + n_y - differ) >= 2 * need(n_x + n_y)
 
 
 def heads(docs: DataFrame, entries: Entries = incidence) -> DataFrame:
