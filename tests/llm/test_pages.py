@@ -72,6 +72,43 @@ def test_main_text(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+WEIGHTS = {"barred": -2.0}
+
+
+def inner(html):
+    return extract(HEAD + NAV + "<article><p>Start here.</p>" + html + "<p>The end.</p></article>" + FOOT, WEIGHTS).split("\n")[1:-1]
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<p class=ad>Buy it<p>Next one<p>And more", ["Next one", "And more"]),
+        ("<p class='ad'>Buy it<div>In a block</div>", ["In a block"]),
+        ("<ul><li>One<li class=ad>Buy<ul><li>this</ul><li>Two</ul>", ["One", "Two"]),
+        ("<ul><li class=ad>Buy it</ul><p>Next", ["Next"]),
+        ("<dl><dt>Term<dd class=ad>Buy<dt>Other<dd>Meaning</dl>", ["Term", "Other", "Meaning"]),
+        ("<table><tr><td class=ad>Buy<td>Cell<tr><td>Row</table>", ["Cell", "Row"]),
+        ("<figure><img src=x><figcaption>A caption</figcaption></figure>", ["A caption"]),
+        ("<object>Fallback</object><audio>Sound text</audio>", ["FallbackSound text"]),
+        ("<h2 id='related-work'>Related work</h2><p>Others did this", ["Related work", "Others did this"]),
+        ("<section id='discussion'><p>We discuss</section><section class=search>Search theory</section>", ["We discuss", "Search theory"]),
+        ("<div class=share-price>Price rose</div><div class='share-buttons'>Share it</div>", ["Price rose"]),
+        ("<div class=notice>Mind this</div><div class='related posts'>Other texts</div>", []),
+        ("<div id=comments><article class=comment><footer>Someone</footer><p>I like it</article><p>Reply</div>", []),
+        ("<section id=comments><article><p>I like it</p></article><p>More</section>", []),
+        ("<div class=ad><div>Buy</div>this</div><p>Next", ["Next"]),
+    ],
+)
+def test_text_inside_the_article(html, want):
+    assert inner(html) == want
+
+
+def test_comments_beside_the_article():
+    note = "<article class='comment'><p>I like this text very much.</p></article>"
+    for comments in (note, "<div id='comments'>" + note * 3 + "</div>", "<section class=comments>" + note[:-10] + note + "</section>"):
+        assert extract(HEAD + NAV + ARTICLE + comments + FOOT, WEIGHTS) == WANT
+
+
 def test_pages_that_mark_their_text(spark, sf_dir):
     """Against the marked element itself, which the extraction does not know."""
     import re
