@@ -236,10 +236,11 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     left_open = stage(classed.df.join(split.select("key"), "key", "left_semi").select("node", "label").distinct())
     if not left_open.df.isEmpty():
         open_texts = texts.df.join(left_open.df.select("node"), "node", "left_semi").withColumnRenamed("node", "doc_id")
-        rows = stage(heads(open_texts, labelled_entries).select(F.col("doc_id").alias("node"), "n", "grams"))
+        rows = stage(heads(open_texts, labelled_entries).select(F.col("doc_id").alias("node"), "n", "grams", "bits"))
         posted = rows.df.select("node", "n", F.posexplode("grams").alias("pos", "gram"))
         posted = meeting(posted.select("gram", "node", "n", (F.col("n") - F.col("pos")).alias("rest")))
-        across = products(posted.df.join(left_open.df, "node").select("gram", "node", "n", "rest", "label"), block)
+        labelled = posted.df.join(left_open.df, "node").select("gram", "node", "n", "rest", "label")
+        across = products(labelled, rows.df.select("node", "bits"), block)
         tried = first.df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         second = stage(verify(stage(across.join(tried, ["a", "b"], "left_anti")).df, texts.df))
         links = first.df.unionByName(second.df)
