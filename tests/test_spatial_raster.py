@@ -75,6 +75,16 @@ def test_nearest_site_brute_force(spark, metric):
     assert len(got) == 200
 
 
+def test_copied_rows_are_not_broadcast(spark):
+    # a copy per cell around a node: the estimated size leaves the copies out
+    pts = spark.createDataFrame(random_points(60, 25, 3), NODE)
+    plan = spatial.proximity_pairs(pts, 2.0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    _kept, merged, _removed = spatial.merge_close_nodes(pts, spark.createDataFrame([(1, 0, 1)], "graph_id long, src long, dst long"), 2.0)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_lloyd_reports_empty_region(spark):
     points = spark.createDataFrame([(1, 0, 0.0, 0.0)], "set_id long, point long, x double, y double")
     sites = spark.createDataFrame(
