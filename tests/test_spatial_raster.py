@@ -94,6 +94,19 @@ def test_lloyd_reports_empty_region(spark):
         spatial.lloyd_relaxation(points, sites, 1)
 
 
+def test_lloyd_drops_sites_without_points(spark):
+    # two sites at one place: the lower one owns all points
+    points = spark.createDataFrame(
+        [(1, 0, 0.0, 0.0), (1, 1, 2.0, 0.0), (1, 2, 1.0, 1.0), (1, 3, 1.0, -1.0), (2, 0, 4.0, 4.0)], "set_id long, point long, x double, y double"
+    )
+    sites = spark.createDataFrame(
+        [(1, 0, 1.0, 0.0, 1.0), (1, 1, 1.0, 0.0, 1.0), (1, 2, 9.0, 9.0, 1.0), (2, 5, 0.0, 0.0, 1.0)],
+        "set_id long, site long, x double, y double, beta double",
+    )
+    got = sorted(tuple(r) for r in spatial.lloyd_relaxation(points, sites, 2, drop_empty=True).collect())
+    assert got == [(1, 0, 1.0, 0.0, 1.0), (2, 5, 4.0, 4.0, 1.0)]
+
+
 def test_segment_intersections(spark):
     segs = spark.createDataFrame(
         [(1, 0, 0.0, 0.0, 40.0, 40.0), (1, 1, 0.0, 40.0, 40.0, 0.0), (1, 2, 0.0, 1.0, 40.0, 41.0), (1, 3, 50.0, 0.0, 50.0, 9.0)],
