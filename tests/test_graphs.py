@@ -61,6 +61,23 @@ def test_components(spark):
     assert labels == {k: g.components(e) for k, e in every.items()}
 
 
+def test_contracted_edges_join_the_same_nodes(spark):
+    every = {1: g.path(300), 2: g.lattice(9, 9), 3: [(5, 5), (1, 2), (2, 1)]}
+    for rows in (7, 1000):
+        df = components.contract_edges(g.frame(spark, every).coalesce(1), rows=rows)
+        got = {}
+        for r in df.collect():
+            got.setdefault(r["graph_id"], []).append((r["src"], r["dst"]))
+        assert {k: g.components(e) for k, e in got.items()} == {1: g.components(every[1]), 2: g.components(every[2]), 3: {1: 1, 2: 1}}
+        assert sum(map(len, got.values())) < sum(map(len, every.values()))
+    no_key = spark.createDataFrame([(3, 4), (4, 5), (None, 4), (8, 9), (9, 3)], "src long, dst long")
+    assert sorted(tuple(r) for r in components.contract_edges(no_key.coalesce(1), None).collect())[:1] == [(3, 4)]
+    two = spark.createDataFrame([("a", 1, 3, 4), ("a", None, 4, 5), ("b", 1, 4, 3)], "c string, k long, src long, dst long")
+    assert sorted(tuple(r) for r in components.contract_edges(two, ["c", "k"]).collect()) == [("a", 1, 3, 4), ("b", 1, 3, 4)]
+    labels = {(r["c"], r["k"], r["node"]): r["component"] for r in components.connected_components(two, ["c", "k"]).collect()}
+    assert labels == {("a", 1, 3): 3, ("a", 1, 4): 3, ("b", 1, 3): 3, ("b", 1, 4): 3}
+
+
 def test_component_of_loop_only_node(spark):
     df = spark.createDataFrame([(1, 5, 5), (1, 1, 2)], g.EDGE)
     labels = by_graph(components.connected_components(df), "component")
