@@ -379,33 +379,44 @@ def passages(docs: DataFrame) -> DataFrame:
     other columns are not carried.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
-    seeds = stage(seed_table(docs)).df
+    spark = docs.sparkSession
+    sown = stage(seed_table(docs))
+    seeds = sown.df
     own = F.when(F.col("first"), F.col("doc_id"))
     shared = stage(
         seeds.groupBy("seed")
         .agg(F.min(own).alias("source"), F.min_by("pos", own).alias("source_pos"), F.max("doc_id").alias("last"))
         .where("source < last")
         .drop("last")
-    ).df
-    matches = seeds.join(shared, "seed").where("doc_id <> source")
+    )
+    matches = seeds.join(shared.df, "seed").where("doc_id <> source")
     linked = stage(chain_table(matches))
-    found = stage(_aligned(docs, linked.df)).df
-    release(docs.sparkSession, linked)
+    texts = stage(_needed(docs, linked.df))
+    found = stage(_aligned(texts.df, linked.df)).df
+    release(spark, linked, texts)
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
-    left = stage(run_table(docs, _places(matches), spans)).df
-    again = seeds.join(left.select("seed").distinct(), "seed", "left_semi")
-    runs = stage(run_table(docs, _places(again))).df
-    return found.unionByName(_aligned(docs, stage(repeated_runs(left, runs)).df))
+    left = stage(run_table(docs, _places(matches), spans))
+    release(spark, shared)
+    again = seeds.join(left.df.select("seed").distinct(), "seed", "left_semi")
+    runs = stage(run_table(docs, _places(again)))
+    release(spark, sown)
+    whole = stage(repeated_runs(left.df, runs.df)).df
+    release(spark, left, runs)
+    return found.unionByName(_aligned(stage(_needed(docs, whole)).df, whole))
 
 
 def _places(seeds: DataFrame) -> DataFrame:
     return seeds.groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
 
 
-def _aligned(docs: DataFrame, linked: DataFrame) -> DataFrame:
-    """Passages of the chains ``linked``."""
+def _needed(docs: DataFrame, linked: DataFrame) -> DataFrame:
+    """The texts (doc_id, text) of both ends of the chains ``linked``."""
     needed = linked.select(F.explode(F.array("doc_id", "source")).alias("doc_id")).distinct()
-    texts = stage(docs.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))).df
+    return docs.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
+def _aligned(texts: DataFrame, linked: DataFrame) -> DataFrame:
+    """Passages of the chains ``linked`` between ``texts``."""
     x, x_begin = _span("text", "xs")
     y, y_begin = _span("text", "ys")
     both = (

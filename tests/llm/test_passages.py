@@ -108,3 +108,17 @@ def test_repeats_whose_seeds_earlier_documents_hold(spark):
     assert not any(covered(found, i) for i in (1, 2, 3, 10, 11))
     for r in found:
         assert r.source_doc_id < r.doc_id and r.n_matched >= 0.8 * (r.end_word - r.start_word)
+
+
+def test_superseded_tables_are_released(spark, monkeypatch):
+    from graphloom.llm import passages as module
+
+    staged, released = [], []
+    stage, release = module.stage, module.release
+    monkeypatch.setattr(module, "stage", lambda df: (staged.append(stage(df)), staged[-1])[1])
+    monkeypatch.setattr(module, "release", lambda s, *tables: (released.extend(t.path for t in tables), release(s, *tables))[1])
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([Row(doc_id=1, text=text), Row(doc_id=2, text="x " + text)])
+    assert [(r.doc_id, r.start_word, r.end_word) for r in passages(docs).distinct().collect()] == [(2, 1, 81)]
+    # what the result still reads: passages found, the whole runs and their texts
+    assert len(staged) - len(released) == 3
