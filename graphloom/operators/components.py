@@ -11,30 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import Key, join_stats, names
 from ..staging import release, stage, stage_counting
-from .blocks import key_schema
+from .blocks import key_schema, smallest_joined
 from .tables import GRAPH, endpoints
 
 #: Edges that a task contracts at a time.
 CONTRACT_ROWS = 1 << 20
 
 
-def _smallest_joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest number among all that links ``a``-``b`` join to each of 0..n-1."""
-    label = np.arange(n)
-    while True:
-        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
-        apart = low < high
-        if not apart.any():
-            return label
-        a, b = a[apart], b[apart]
-        np.minimum.at(label, high[apart], low[apart])
-        while True:
-            above = label[label]
-            if np.array_equal(above, label):
-                break
-            label = above
-
-
 def _stars(frame: pd.DataFrame, by: list[str]) -> pd.DataFrame:
     """The frame's edges contracted: every node but the smallest of what they join, linked to that smallest one."""
     graph = frame.groupby(by, sort=False).ngroup().to_numpy() if by else np.zeros(len(frame), np.int64)
@@ -46,7 +29,7 @@ def _stars(frame: pd.DataFrame, by: list[str]) -> pd.DataFrame:
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
     node, seen_in = ends[order][new], row[order][new]
-    label = _smallest_joined(len(node), number[: len(frame)], number[len(frame) :])
+    label = smallest_joined(len(node), number[: len(frame)], number[len(frame) :])
     leaf = np.flatnonzero(label != np.arange(len(node)))
     out = frame[by].iloc[seen_in[leaf]].reset_index(drop=True)
     out["src"], out["dst"] = node[label[leaf]], node[leaf]

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from graphloom.operators.iterative import chebyshev_coefficients, heat_kernel_rows, pair_resistance
-from graphloom.operators.multi_source import hop_histogram, hop_sums
+from graphloom.operators import local_paths, multi_source, paths
+from graphloom.operators.multi_source import by_size, hop_histogram, hop_sums
 from graphloom.operators.paths import betweenness, betweenness_joins, path_length_histogram, path_sums
 
 EDGES = "graph_id long, src long, dst long, weight double"
@@ -129,3 +130,52 @@ def test_empty_tables(spark):
     assert hop_sums(none).collect() == [] and hop_histogram(none).collect() == []
     assert pair_resistance(none, spark.createDataFrame([], "graph_id long, a long, b long")).collect() == []
     assert heat_kernel_rows(none, spark.createDataFrame([], "graph_id long, source long"), 1.0).collect() == []
+
+
+def test_graphs_by_joins_and_in_tasks_give_the_same(spark, edges):
+    """A mix of the form by joins and the form in tasks, against matrices."""
+    more = edges.unionByName(spark.createDataFrame([(50, i, (i * i + 3) % 150, 1.0) for i in range(150)], EDGES)).cache()
+    sums = {tuple(r) for r in path_sums(more).collect()}
+    pairs = {tuple(r) for r in path_length_histogram(more).collect()}
+    dense = {(r.graph_id, r.node): r.betweenness for r in betweenness(more).collect()}
+    for edges_, task_edges in ((more, 1 << 20), (edges, 30)):
+        graphs = {r.graph_id for r in edges_.select("graph_id").distinct().collect()}
+        assert {tuple(r) for r in hop_sums(edges_, task_edges=task_edges).collect()} == {r for r in sums if r[0] in graphs}
+        assert {tuple(r) for r in hop_histogram(edges_, task_edges=task_edges).collect()} == {r for r in pairs if r[0] in graphs}
+        got = {(r.graph_id, r.node): r.betweenness for r in betweenness_joins(edges_, task_edges=task_edges).collect()}
+        assert got.keys() == {k for k in dense if k[0] in graphs}
+        assert all(got[k] == pytest.approx(dense[k], abs=1e-9) for k in got)
+
+
+def test_sources_shared_by_tasks(spark, edges, monkeypatch):
+    more = edges.unionByName(spark.createDataFrame([(50, i, (i * i + 3) % 150, 1.0) for i in range(150)], EDGES)).cache()
+    small, large = by_size(more, "graph_id", 1 << 20, 20)
+    assert large is None and small.count() > more.count()
+    monkeypatch.setattr(local_paths, "ROUND_CELLS", 64)
+    monkeypatch.setattr(multi_source, "by_size", lambda *a: (small, None))
+    monkeypatch.setattr(paths, "by_size", lambda *a: (small, None))
+    assert {tuple(r) for r in hop_sums(more).collect()} == {tuple(r) for r in path_sums(more).collect()}
+    assert {tuple(r) for r in hop_histogram(more).collect()} == {tuple(r) for r in path_length_histogram(more).collect()}
+    dense = {(r.graph_id, r.node): r.betweenness for r in betweenness(more).collect()}
+    got = {(r.graph_id, r.node): r.betweenness for r in betweenness_joins(more).collect()}
+    assert got.keys() == dense.keys() and all(got[k] == pytest.approx(v, abs=1e-9) for k, v in dense.items())
+
+
+def test_many_components_make_no_matrix(spark):
+    """Three thousand stars in one graph: n x n entries would be 1.8 GB."""
+    star = [(1, 10 * c, 10 * c + i) for c in range(3000) for i in range(1, 5)]
+    df = spark.createDataFrame(star, "graph_id long, src long, dst long")
+    far = {r.node: (r.reached, r.total_hops, r.eccentricity) for r in hop_sums(df).collect()}
+    assert far[0] == (4, 4, 1) and far[29991] == (4, 7, 2) and len(far) == 15000
+    hub = 12 / (14999 * 14998)
+    for got in (betweenness(df), betweenness_joins(df)):
+        value = {r.node: r.betweenness for r in got.collect()}
+        assert value[0] == pytest.approx(hub) and value[1] == 0.0 and len(value) == 15000
+
+
+def test_no_key_and_null_key(spark):
+    df = spark.createDataFrame([(1, 2), (2, 3), (4, 5)], "src long, dst long")
+    assert {tuple(r) for r in hop_sums(df, key=None).collect()} == {(1, 2, 3, 2), (2, 2, 2, 1), (3, 2, 3, 2), (4, 1, 1, 1), (5, 1, 1, 1)}
+    null = spark.createDataFrame([(None, 1, 2), (7, 1, 2)], "graph_id long, src long, dst long")
+    assert {tuple(r) for r in hop_sums(null).collect()} == {(None, 1, 0, 0, 0), (None, 2, 0, 0, 0), (7, 1, 1, 1, 1), (7, 2, 1, 1, 1)}
+    assert {tuple(r)[:2] for r in betweenness_joins(null).collect()} == {(7, 1), (7, 2)}
