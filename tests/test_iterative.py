@@ -179,3 +179,19 @@ def test_no_key_and_null_key(spark):
     null = spark.createDataFrame([(None, 1, 2), (7, 1, 2)], "graph_id long, src long, dst long")
     assert {tuple(r) for r in hop_sums(null).collect()} == {(None, 1, 0, 0, 0), (None, 2, 0, 0, 0), (7, 1, 1, 1, 1), (7, 2, 1, 1, 1)}
     assert {tuple(r)[:2] for r in betweenness_joins(null).collect()} == {(7, 1), (7, 2)}
+
+
+def test_heat_rows_by_joins_and_in_tasks(spark, rows, edges):
+    """Graphs above the limit by joins, the others in the tasks, both against matrices."""
+    dense = laplacians(rows)
+    sources = [(g, ids[k]) for g, (ids, _) in dense.items() for k in (0, len(ids) // 2)] + [(5, 77)]
+    df = spark.createDataFrame(sources, "graph_id long, source long")
+    got = heat_kernel_rows(edges, df, 0.3, task_edges=20).collect()
+    found = {(r.graph_id, r.source, r.node): r.value for r in got}
+    assert len(found) == len(got) and found[5, 77, 77] == pytest.approx(1.0)
+    for g, s in sources[:-1]:
+        ids, lap = dense[g]
+        lam, vec = np.linalg.eigh(lap)
+        row = (vec * np.exp(-0.3 * lam)) @ vec[ids.index(s)]
+        for node, value in zip(ids, row):
+            assert found.get((g, s, node), 0.0) == pytest.approx(value, abs=1e-9)
