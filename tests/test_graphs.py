@@ -269,3 +269,28 @@ def test_histogram_of_a_group_outside_the_range(spark):
     df = spark.createDataFrame([(1, 0.5), (1, 1.5), (2, 9.0)], "k int, v double")
     rows = empirical_pdf_cdf(df, "v", 2, "k", (0.0, 2.0)).collect()
     assert sorted((r["k"], r["bin"], r["pdf"]) for r in rows) == [(1, 0, 0.5), (1, 1, 0.5), (2, 0, None), (2, 1, None)]
+
+
+def test_matrices_are_no_larger_than_a_component(spark):
+    """Six thousand nodes in components of four: n x n entries would be 288 MB a matrix."""
+    rows = [(1, 10 * c, 10 * c + i) for c in range(1500) for i in range(1, 4)]
+    edges = spark.createDataFrame(rows, "graph_id long, src long, dst long")
+    lam = spectral.laplacian_spectrum(edges).first()["lambdas"]
+    assert np.allclose(lam, [0.0] * 1500 + [1.0] * 3000 + [4.0] * 1500, atol=1e-9)
+    z = 1500 * (1 + 2 * np.exp(-0.5) + np.exp(-2.0))
+    rho = spectral.density_matrix(edges, 0.5).collect()
+    assert len(rho) == 6000 and all(len(r["rho"]) == 4 and r["component"] == r["node"] // 10 * 10 for r in rho)
+    assert all(abs(r["z"] / z - 1) < 1e-9 and abs(sum(r["rho"]) * z - 1) < 1e-6 for r in rho)
+    assert abs(sum(r["rho"][r["place"]] for r in rho) - 1) < 1e-9
+    res = spectral.edge_resistance(edges.selectExpr("*", "2.0D as weight")).collect()
+    assert len(res) == 4500 and all(abs(r["resistance"] - 0.5) < 1e-9 for r in res)
+
+
+def test_specific_heat_of_graphs_of_several_sizes(spark):
+    spec = spectral.laplacian_spectrum(g.frame(spark))
+    taus = [0.1, 0.3, 0.4, 1.0, 3.0]
+    got = {r["graph_id"]: r["c"] for r in spectral.specific_heat_from_spectrum(spec, taus).collect()}
+    for graph, edges in g.GRAPHS.items():
+        lam = np.linalg.eigvalsh(g.laplacian(edges)[1])
+        mean = [(lam * np.exp(-t * lam)).sum() / np.exp(-t * lam).sum() for t in taus]
+        assert np.allclose(got[graph], -np.gradient(mean, taus, edge_order=2) * np.square(taus), atol=1e-9)
