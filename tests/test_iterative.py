@@ -7,6 +7,7 @@ from graphloom.operators.iterative import chebyshev_coefficients, heat_kernel_ro
 from graphloom.operators import local_paths, multi_source, paths
 from graphloom.operators.multi_source import by_size, hop_histogram, hop_sums
 from graphloom.operators.paths import betweenness, betweenness_joins, path_length_histogram, path_sums
+from graphloom.operators.spectral import edge_resistance
 
 EDGES = "graph_id long, src long, dst long, weight double"
 
@@ -195,3 +196,21 @@ def test_heat_rows_by_joins_and_in_tasks(spark, rows, edges):
         row = (vec * np.exp(-0.3 * lam)) @ vec[ids.index(s)]
         for node, value in zip(ids, row):
             assert found.get((g, s, node), 0.0) == pytest.approx(value, abs=1e-9)
+
+
+def test_null_nodes_stand_alone(spark):
+    """A null for a node is a node without links, as in the form by joins; other graphs are not touched."""
+    df = spark.createDataFrame([(1, 0, 1), (1, 0, 2), (1, 0, None), (2, 0, 1), (2, 0, 2)], "graph_id long, src long, dst long")
+    got = {(r.graph_id, r.node): r.betweenness for r in betweenness_joins(df).collect()}
+    assert got == {(1, 0): pytest.approx(1 / 3), (1, 1): 0.0, (1, 2): 0.0, (1, None): 0.0, (2, 0): 1.0, (2, 1): 0.0, (2, 2): 0.0}
+    rows = heat_kernel_rows(df, spark.createDataFrame([(1, 0), (2, 0)], "graph_id long, source long"), 0.5).collect()
+    found = {(r.graph_id, r.node): r.value for r in rows}
+    assert found.keys() == {(g, n) for g in (1, 2) for n in (0, 1, 2)}
+    assert all(found[1, n] == pytest.approx(found[2, n], abs=1e-9) for n in range(3))
+
+
+def test_resistances_of_a_graph_with_a_null_weight_are_null(spark):
+    df = spark.createDataFrame([(1, 0, 1, 2.0), (1, 1, 2, None), (2, 0, 1, 2.0), (2, 5, 6, 4.0)], EDGES)
+    got = {(r.graph_id, r.src): r.resistance for r in edge_resistance(df).collect()}
+    assert got[1, 0] is None and got[1, 1] is None
+    assert got[2, 0] == pytest.approx(0.5) and got[2, 5] == pytest.approx(0.25)
