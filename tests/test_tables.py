@@ -171,6 +171,50 @@ def test_random_walks_follow_edges(spark):
         assert all(b in near[r["graph_id"]][a] for a, b in zip(r["path"], r["path"][1:]))
 
 
+def test_random_walks_of_tasks_and_joins_agree(spark):
+    from . import graphs as g
+
+    rows = [(k, *e) for k, edges in g.GRAPHS.items() for e in edges] + [(1, 0, 1), (2, 3, 3), (None, 0, 1), (2, None, 1)]
+    df = spark.createDataFrame(rows, g.EDGE)
+    inside, joined, mixed = (features.random_walks(df, length=6, walks=2, task_edges=m).collect() for m in (1000, 0, 12))
+    assert len(inside) == 2 * sum(len(g.neighbours(e)) for e in g.GRAPHS.values())
+    assert sorted(inside) == sorted(joined) == sorted(mixed)
+
+
+def test_shares_of_a_graph_walk_from_every_node_once():
+    import pandas as pd
+
+    from graphloom.operators.blocks import Numbered
+    from graphloom.operators.local_walks import walks_of
+
+    def starts(share, shares):
+        edges = pd.DataFrame({"k": 1, "_share": share, "_shares": shares, "_text": "1-", "src": range(699), "dst": range(1, 700)})
+        graphs = Numbered(edges, ["k", "_share", "_shares", "_text"], split=False)
+        return [tuple(r.values()) for b in walks_of(graphs, ["k"], 4, 2, 1) for r in b.to_pylist()]
+
+    whole = starts(0, 1)
+    assert len(whole) == 1400
+    assert sorted(map(str, starts(0, 2) + starts(1, 2))) == sorted(map(str, whole))
+
+
+def test_walk_embeddings_of_tasks_and_joins_agree(spark):
+    from . import graphs as g
+
+    graphs = {1: g.clique(5) + [(4, 5)], 2: g.lattice(4, 3), 3: g.random_graph(30, 24, 2)}
+    walks = features.random_walks(g.frame(spark, graphs), length=7, walks=3)
+    odd = spark.createDataFrame([(None, 0, 0, [1, 2, 1]), (2, 9, 0, [0, None, 1])], "graph_id long, walk int, start long, path array<long>")
+    walks = walks.unionByName(odd)
+
+    def rows(pairs):
+        out = features.walk_embedding(walks, window=3, rounds=3, task_pairs=pairs).collect()
+        return {(r["graph_id"], r["node"]): r["embedding"] for r in out}
+
+    inside, joined = rows(10_000), rows(0)
+    assert inside.keys() == joined.keys() and len(inside) > 30
+    for k in inside:
+        assert inside[k] == pytest.approx(joined[k], abs=1e-9)
+
+
 def test_walk_embedding_separates_cliques(spark):
     from . import graphs as g
 
