@@ -219,6 +219,15 @@ def test_community_detection_finds_cliques(spark):
     assert q[1] > 0.4 and all(-0.5 <= q[k] <= 1 and q[k] > q0[k] for k in q)
 
 
+def test_communities_of_tasks_and_joins_agree(spark):
+    rows = [(k, a, b, float(1 + (a * b) % 3)) for k, edges in g.GRAPHS.items() for a, b in edges]
+    rows += [(5, 3, 3, 2.0), (6, 1, 1, 1.0), (7, 0, 1, None), (None, 0, 1, 1.0)]
+    df = spark.createDataFrame(rows, "graph_id long, src long, dst long, weight double")
+    inside, mixed = (sorted(community.community_detection(df, levels=2, rounds=3, task_edges=m).dropna().collect()) for m in (1000, 12))
+    assert len(inside) > 70
+    assert inside == mixed
+
+
 def test_whole_groups_rejoins_batches():
     import pandas as pd
 
