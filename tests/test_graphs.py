@@ -219,6 +219,15 @@ def test_community_detection_finds_cliques(spark):
     assert q[1] > 0.4 and all(-0.5 <= q[k] <= 1 and q[k] > q0[k] for k in q)
 
 
+def test_link_rows_are_dealt_finer_than_the_shuffle(spark):
+    links = spark.range(4000).selectExpr("0L as graph_id", "id as a", "id + 1 as b", "1.0 as q")
+    used = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for weight in (None, F.sum("q")):
+        edges = tables.edges_from_table(links, "a", "b", weight=weight)
+        assert edges.count() == 4000
+        assert edges.select(F.spark_partition_id().alias("p")).distinct().count() > 2 * used
+
+
 def test_communities_of_tasks_and_joins_agree(spark):
     rows = [(k, a, b, float(1 + (a * b) % 3)) for k, edges in g.GRAPHS.items() for a, b in edges]
     rows += [(5, 3, 3, 2.0), (6, 1, 1, 1.0), (7, 0, 1, None), (None, 0, 1, 1.0)]
