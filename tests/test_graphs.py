@@ -219,8 +219,35 @@ def test_community_detection_finds_cliques(spark):
     assert q[1] > 0.4 and all(-0.5 <= q[k] <= 1 and q[k] > q0[k] for k in q)
 
 
+def odd_graphs(spark):
+    rows = [(k, *e) for k, edges in g.GRAPHS.items() for e in edges] + [(5, 3, 3), (3, 0, 1), (None, 0, 1), (None, 1, 2), (None, 0, 2), (7, 1, 2)]
+    return spark.createDataFrame(rows, g.EDGE)
+
+
+def test_cores_of_tasks_and_joins_agree(spark):
+    df = odd_graphs(spark)
+    given = tables.degree(df).select("graph_id", "node").union(spark.sql("select 9L, 1L"))
+    for nodes in (None, given):
+        inside, mixed = ([sorted(map(str, x.collect())) for x in tables.two_core(df, nodes=nodes, task_edges=m)] for m in (1000, 12))
+        assert inside == mixed and len(inside[0]) > 10 and len(inside[1]) > 10
+
+
+def test_triangles_of_tasks_and_joins_agree(spark):
+    inside, mixed = (sorted(map(str, structure.clustering_coefficient(odd_graphs(spark), task_edges=m).collect())) for m in (1000, 12))
+    assert inside == mixed and len(inside) > 70
+    found = structure.triangles(g.frame(spark, {1: g.clique(5), 2: g.path(4)})).collect()
+    assert sorted((r["node"], r["triangles"]) for r in found) == [(v, 6) for v in range(5)]
+
+
+def test_degree_pairs_of_tasks_and_joins_agree(spark):
+    df = odd_graphs(spark).withColumn("corpus", F.col("graph_id") % 2)
+    for pool in ("corpus", "graph_id", None):
+        inside, mixed = (sorted(map(str, structure.degree_pairs(df, pool=pool, task_edges=m).collect())) for m in (1000, 12))
+        assert inside == mixed and len(inside) > 5
+
+
 def test_link_rows_are_dealt_finer_than_the_shuffle(spark):
-    links = spark.range(4000).selectExpr("0L as graph_id", "id as a", "id + 1 as b", "1.0 as q")
+    links = spark.range(4000).selectExpr("id div 100000 as graph_id", "id as a", "id + 1 as b", "1.0 as q")
     used = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for weight in (None, F.sum("q")):
         edges = tables.edges_from_table(links, "a", "b", weight=weight)
