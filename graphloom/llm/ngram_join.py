@@ -36,6 +36,8 @@ PRODUCTS = 1 << 20
 #: 64-bit words of a row's bitmap, a bit for each value of the top nine bits of a hash. A bit tells an odd count, which says
 #: as much of long rows as of short ones, where most classes have an entry.
 WORDS = 8
+#: Entries of a row before a column's that tell whether two rows have met already.
+BEFORE = 8
 
 
 def need(total):
@@ -207,11 +209,22 @@ def meeting(postings: DataFrame) -> Staged:
     return members
 
 
+def met_before(before_x: np.ndarray, before_y: np.ndarray) -> np.ndarray:
+    """Whether the entries of each two rows before this column's show that they have met in an earlier column."""
+    return (before_x[:, :, None] == before_y[:, None, :]).any((1, 2))
+
+
 def block_products(
-    node: np.ndarray, n: np.ndarray, rest: np.ndarray, label: np.ndarray, bits: np.ndarray | None = None
+    node: np.ndarray,
+    n: np.ndarray,
+    rest: np.ndarray,
+    label: np.ndarray,
+    bits: np.ndarray | None = None,
+    before: np.ndarray | None = None,
 ) -> Iterator[tuple]:
     """Pairs of rows of one column with different labels that the sizes and, where given, the bitmaps leave.
 
+    Given the rows' entries ``before`` this column, a pair that they show to meet in an earlier one is left to that.
     A row without a partner of a fitting size is left out first. The largest label comes last and is never
     multiplied with itself, so a column with one large class costs the class times the other rows.
     """
@@ -221,12 +234,14 @@ def block_products(
     some = partners > 0
     if bits is None:
         bits = np.zeros((len(n), WORDS), np.uint64)
-    node, n, rest, label, bits = node[some], n[some], rest[some], label[some], bits[some]
+    if before is None:
+        before = np.zeros((len(n), 0), np.int64)
+    node, n, rest, label, bits, before = node[some], n[some], rest[some], label[some], bits[some], before[some]
     if not len(node):
         return
     _, own, count = np.unique(label, return_inverse=True, return_counts=True)
     order = np.lexsort((own, count[own]))
-    node, n, rest, own, bits = node[order], n[order], rest[order], own[order], bits[order]
+    node, n, rest, own, bits, before = node[order], n[order], rest[order], own[order], bits[order], before[order]
     last = np.flatnonzero(np.append(own[1:] != own[:-1], True)) + 1
     end = np.repeat(last, np.diff(np.concatenate([[0], last])))
     many = len(node) - end
@@ -241,14 +256,17 @@ def block_products(
         for at in range(0, len(x), PRODUCTS // 8):
             i, j = x[at : at + PRODUCTS // 8], y[at : at + PRODUCTS // 8]
             near = may_overlap(bits[i], bits[j], n[i], n[j])
-            i, j = node[i[near]], node[j[near]]
+            i, j = i[near], j[near]
+            new = ~met_before(before[i], before[j])
+            i, j = node[i[new]], node[j[new]]
             yield np.minimum(i, j), np.maximum(i, j)
         lo = hi
 
 
-def products(members: DataFrame, bitmap: DataFrame, block: int) -> DataFrame:
+def products(members: DataFrame, reps: DataFrame, block: int) -> DataFrame:
     """Pairs (a, b) of the rows (gram, node, n, rest, label) that meet in a column and have different labels, and
-    whose bitmaps (node, bits) allow a link: near copies just short of one are told apart before they make rows.
+    whose bitmaps, of ``reps`` (node, grams, bits), allow a link: near copies just short of one are told apart before they
+    make rows, and a pair makes one where it first meets, not in every column it has in common that follows closely.
 
     A column of more than ``block`` rows is cut into blocks, and every two blocks are multiplied in a task of their own.
     """
@@ -282,8 +300,8 @@ def products(members: DataFrame, bitmap: DataFrame, block: int) -> DataFrame:
             new = np.flatnonzero((whole[1:, :3] != whole[:-1, :3]).any(1)) + 1
             found = []
             for cell in np.split(whole, new):
-                bits = np.ascontiguousarray(cell[:, 7:]).view(np.uint64)
-                for pair in block_products(cell[:, 3], cell[:, 4], cell[:, 5], cell[:, 6], bits):
+                bits = np.ascontiguousarray(cell[:, 7 : 7 + WORDS]).view(np.uint64)
+                for pair in block_products(*cell[:, 3:7].T, bits, cell[:, 7 + WORDS :]):
                     if len(pair[0]) >= PRODUCTS // 4:
                         yield pa.RecordBatch.from_arrays([pa.array(p) for p in pair], names=["a", "b"])
                     elif len(pair[0]):
@@ -296,7 +314,11 @@ def products(members: DataFrame, bitmap: DataFrame, block: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             bits = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.int64).reshape(-1, WORDS)
-            held.append(np.column_stack([*(c.to_numpy() for c in batch.columns[:7]), bits]))
+            start, grams = batch.column(8).offsets.to_numpy(), batch.column(8).values.to_numpy()
+            # what a shorter list lacks is like no entry of another row
+            before = np.repeat(~batch.column(3).to_numpy()[:, None], BEFORE, 1)
+            before[np.arange(BEFORE) < np.diff(start)[:, None]] = grams[start[0] : start[-1]]
+            held.append(np.column_stack([*(c.to_numpy() for c in batch.columns[:7]), bits, before]))
             cut = np.flatnonzero((held[-1][:, :3] != held[-1][-1, :3]).any(1))
             # the last cell may go on in the next batch
             at = int(cut[-1]) + 1 if len(cut) else 0
@@ -310,7 +332,10 @@ def products(members: DataFrame, bitmap: DataFrame, block: int) -> DataFrame:
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = ["gram", "x", "y"]
-    rows = rows.join(bitmap, "node").select(*rows.columns, "bits")
+    pos = (F.col("n") - F.col("rest")).cast("int")
+    before = F.slice("grams", F.greatest(pos - BEFORE, F.lit(0)) + 1, F.least(pos, F.lit(BEFORE))).alias("before")
+    heads = reps.select("node", "grams", "bits").join(members.select("node").distinct(), "node", "left_semi")
+    rows = rows.join(heads, "node").select(*rows.columns, "bits", before)
     return rows.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long").distinct()
 
 
@@ -364,7 +389,7 @@ def ngram_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     merged = stage(components(first.df))
     labelled = members.df.join(merged.df, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = stage(labelled.select("gram", "node", "n", "rest", "label"))
-    across = stage(products(labelled.df, reps.df.select("node", "bits"), block).join(stars.df, ["a", "b"], "left_anti"))
+    across = stage(products(labelled.df, reps.df, block).join(stars.df, ["a", "b"], "left_anti"))
     release(spark, centres, members, labelled, merged)
     second = linked(across.df)
     final = stage(components(first.df.unionAll(second.df)))

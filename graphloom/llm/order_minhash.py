@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         posted = rows.df.select("node", "n", F.posexplode("grams").alias("pos", "gram"))
         posted = meeting(posted.select("gram", "node", "n", (F.col("n") - F.col("pos")).alias("rest")))
         labelled = posted.df.join(left_open.df, "node").select("gram", "node", "n", "rest", "label")
-        across = products(labelled, rows.df.select("node", "bits"), block)
+        across = products(labelled, rows.df, block)
         tried = first.df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         second = stage(verify(stage(across.join(tried, ["a", "b"], "left_anti")).df, texts.df))
         links = first.df.unionByName(second.df)

@@ -3,7 +3,7 @@ import re
 import numpy as np
 
 from graphloom.llm import ngram_join
-from graphloom.llm.ngram_join import bitmaps, block_products, may_overlap, ngram_components
+from graphloom.llm.ngram_join import BEFORE, bitmaps, block_products, may_overlap, ngram_components
 
 
 def shingle_set(text):
@@ -117,6 +117,25 @@ def test_products_leave_out_one_class():
         assert got == want
 
 
+def test_a_pair_is_made_where_it_first_meets():
+    rng = np.random.default_rng(5)
+    heads = [sorted(rng.choice(60, int(rng.integers(1, 30)), replace=False).tolist()) for _ in range(80)]
+    made = {}
+    for gram in range(60):
+        rows = np.array([i for i, h in enumerate(heads) if gram in h], int)
+        lists = [heads[i][: heads[i].index(gram)][-BEFORE:] for i in rows]
+        before = np.array([h + [~i] * (BEFORE - len(h)) for i, h in zip(rows, lists)]).reshape(-1, BEFORE)
+        n = np.full(len(rows), 100)
+        for a, b in block_products(rows, n, n, rows, None, before):
+            for pair in zip(a.tolist(), b.tolist()):
+                made.setdefault(pair, []).append(gram)
+    common = {(i, j): [g for g in heads[i] if g in heads[j]] for i in range(80) for j in range(i + 1, 80)}
+    common = {pair: grams for pair, grams in common.items() if grams}
+    assert made.keys() == common.keys()
+    assert all(made[pair][0] == grams[0] for pair, grams in common.items())
+    assert sum(map(len, made.values())) - len(common) < 0.4 * (sum(map(len, common.values())) - len(common))
+
+
 def test_bitmaps_never_exclude_a_link():
     rng = np.random.default_rng(11)
     told = 0
