@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import Row
 
+from graphloom.llm import cross_entropy
 from graphloom.llm.cross_entropy import PRIOR, score_documents
 from graphloom.llm.mtree import MTree, top_k
 
@@ -93,3 +94,36 @@ def test_scores_against_plain_counts(spark):
         assert math.isclose(r.score, r.target_loss - r.background_loss, abs_tol=1e-9)
     assert score_documents(df.limit(0), target_ids).collect() == []
     assert all(r.score is not None for r in score_documents(df.where("doc_id < 3"), target_ids.limit(0)).collect())
+
+
+def test_rare_words_and_pairs_count(spark, monkeypatch):
+    """What is below the share of the tokens counts as exactly as what is broadcast."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, rng.integers(1, 60)) % 90) for _ in range(40)] + ["only here", "only here", "", None, "only"]
+    ids = [*range(len(texts) - 1), None]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    target_ids = spark.createDataFrame([(i,) for i in (*range(0, 40, 3), 41)], "doc_id long")
+    whole = {r.doc_id: r for r in score_documents(df, target_ids, 0.0).collect()}
+    docs = [(t or "").split() for t in texts]
+    vocabulary = len({w for d in docs for w in d}) + 1
+    for i, losses in ((k, [whole[k].target_loss, whole[k].background_loss]) for k in (0, 7, 40, None)):
+        own = docs[-1] if i is None else docs[i]
+        for model, loss in zip(([d for k, d in zip(ids, docs) if k in {*range(0, 40, 3), 41}], docs), losses, strict=True):
+            word = Counter(w for d in model for w in d)
+            pair = Counter(p for d in model for p in zip([None, *d], d))
+            context = Counter(h for d in model for h in [None, *d][: len(d)])
+            total = sum(word.values())
+            p = [(pair[h, w] + PRIOR * (word[w] + 1) / (total + vocabulary)) / (context[h] + PRIOR) for h, w in zip([None, *own], own)]
+            assert math.isclose(loss, -sum(map(math.log, p)) / len(own), rel_tol=1e-9)
+    for share, group in ((0.004, 1 << 22), (0.02, 50), (0.2, 300), (2.0, 50)):
+        monkeypatch.setattr(cross_entropy, "BUCKET", group)
+        got = score_documents(df, target_ids, share).collect()
+        assert len(got) == len(texts)
+        for r in got:
+            want = whole[r.doc_id]
+            assert r.n_tokens == want.n_tokens
+            if r.n_tokens:
+                assert math.isclose(r.target_loss, want.target_loss, rel_tol=1e-9)
+                assert math.isclose(r.background_loss, want.background_loss, rel_tol=1e-9)
+            else:
+                assert r.score is None
