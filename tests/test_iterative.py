@@ -1,10 +1,12 @@
 """Iterations on tables against dense matrices."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from graphloom.operators.iterative import chebyshev_coefficients, heat_kernel_rows, pair_resistance
 from graphloom.operators import local_paths, multi_source, paths
+from graphloom.operators.blocks import Numbered, stacked
 from graphloom.operators.multi_source import by_size, hop_histogram, hop_sums
 from graphloom.operators.paths import betweenness, betweenness_joins, path_length_histogram, path_sums
 from graphloom.operators.spectral import edge_resistance
@@ -214,3 +216,61 @@ def test_resistances_of_a_graph_with_a_null_weight_are_null(spark):
     got = {(r.graph_id, r.src): r.resistance for r in edge_resistance(df).collect()}
     assert got[1, 0] is None and got[1, 1] is None
     assert got[2, 0] == pytest.approx(0.5) and got[2, 5] == pytest.approx(0.25)
+
+
+def _numbered(*links, **keys):
+    frame = pd.concat([pd.DataFrame({"graph_id": g, "src": a, "dst": b}) for g, a, b in links], ignore_index=True)
+    return Numbered(frame.assign(**keys), ["graph_id", *keys])
+
+
+def test_shares_do_not_depend_on_the_frame(monkeypatch):
+    """A share's sources are the same whatever other graphs its task holds."""
+    monkeypatch.setattr(local_paths, "ROUND_CELLS", 20_000)
+    path, other = (1, np.arange(1499), np.arange(1, 1500)), (2, np.arange(3000), np.arange(1, 3001))
+    whole, table = local_paths.hops_of(_numbered(path))
+    first, some = local_paths.hops_of(_numbered(path, _share=0, _shares=2))
+    second, more = local_paths.hops_of(_numbered(path, other, _share=1, _shares=2))
+    for c in ("reached", "total_hops"):
+        assert (first[c] + second[c][:1500] == whole[c]).all()
+    pairs = pd.concat([some, more[more["graph"] == 0]]).groupby("hops")["pairs"].sum()
+    assert pairs.to_dict() == table.groupby("hops")["pairs"].sum().to_dict()
+
+
+def test_hops_past_the_slabs():
+    """Hubs of more neighbours than slabs, levels of few and of many links, loops, and components of all sizes."""
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 400, 700), rng.integers(0, 400, 700)
+    a[:80] = 0
+    graphs = _numbered((1, a, b), (2, np.arange(90), np.arange(1, 91)), (3, np.array([5]), np.array([5])))
+    sums, table = local_paths.hops_of(graphs)
+    n = len(graphs.ids)
+    link = np.eye(n)
+    link[graphs.a, graphs.b] = link[graphs.b, graphs.a] = 1
+    hops, reach = np.where(np.eye(n) > 0, 0, -1), np.eye(n)
+    for level in range(1, n):
+        reach = (reach @ link > 0).astype(float)
+        if not ((reach > 0) & (hops < 0)).any():
+            break
+        hops[(reach > 0) & (hops < 0)] = level
+    assert (sums["reached"] == (hops > 0).sum(axis=1)).all() and (sums["eccentricity"] == hops.max(axis=1)).all()
+    assert (sums["total_hops"] == np.maximum(hops, 0).sum(axis=1)).all()
+    for (graph, level), pairs in table.groupby(["graph", "hops"])["pairs"].sum().items():
+        assert pairs == (hops[graphs.graph == graph] == level).sum()
+
+
+def test_density_of_a_large_component_by_terms(monkeypatch):
+    """Columns and trace of a sparse component without eigenvectors, in several blocks."""
+    monkeypatch.setattr(local_paths, "BLOCK_CELLS", 5000)
+    rng = np.random.default_rng(4)
+    a, b = np.concatenate([np.arange(599), rng.integers(0, 600, 60)]), np.concatenate([np.arange(1, 600), rng.integers(0, 600, 60)])
+    a[600:650] = 0
+    for weight in (np.ones(659), rng.random(659) * 2):
+        graphs = _numbered((1, a, b), (2, np.array([1]), np.array([2])))
+        graphs.weight[:659] = weight
+        blocks = local_paths.heat_blocks(graphs, 0.5, lambda x: chebyshev_coefficients(x, 1e-14))
+        assert list(blocks) == [0]
+        lap = next(s for s in stacked(graphs, np.array([0]))).laplacian()[0]
+        lam, vec = np.linalg.eigh(lap)
+        heat = (vec * np.exp(-0.5 * lam)) @ vec.T
+        assert np.abs(np.concatenate([rows for _, rows in blocks[0].rows()]) - heat).max() < 1e-12
+        assert blocks[0].trace() == pytest.approx(np.trace(heat), rel=1e-12)
