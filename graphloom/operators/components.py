@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import Key, join_stats, names
 from ..staging import release, stage, stage_counting
-from .blocks import key_schema, smallest_joined
+from .blocks import Numbered, key_schema, map_components, smallest_joined
+from .local_paths import rows_of
+from .multi_source import TASK_EDGES, by_size
 from .tables import GRAPH, endpoints
 
 #: Edges that a task contracts at a time.
@@ -62,10 +64,35 @@ def contract_edges(edges: DataFrame, key: Key = GRAPH, rows: int = CONTRACT_ROWS
     return loose.repartitionByRange(*by, "src").mapInPandas(run, schema)
 
 
-def connected_components(edges: DataFrame, key: Key = GRAPH, nodes: DataFrame | None = None) -> DataFrame:
+def connected_components(
+    edges: DataFrame, key: Key = GRAPH, nodes: DataFrame | None = None, task_edges: int = TASK_EDGES
+) -> DataFrame:
     """Smallest node id of the component of every node, for all graphs at once.
 
-    Hooking and shortcutting rounds (the FastSV scheme of Zhang, Azad and Hu, 2020): each node
+    Under a key, graphs of at most ``task_edges`` edges are labelled in the tasks after one shuffle; larger ones, and those
+    with nulls, by rounds of joins, with the same rows. ``nodes`` (key, node) adds isolated ones and goes by joins.
+    """
+    by = names(key)
+    if not by or nodes is not None:
+        return _components_by_joins(edges, key, nodes)
+    given = stage(edges.select(*by, "src", "dst"))
+    small, large = by_size(given.df, key, task_edges, max(task_edges, 1))
+
+    def solve(graphs: Numbered) -> Iterator[pd.DataFrame]:
+        # nodes of a component stand in order of their id
+        yield rows_of(graphs, by, {"component": graphs.ids[graphs.first][graphs.component]})
+
+    node = dict(edges.dtypes)["src"]
+    labels = map_components(small, solve, f"{key_schema(edges, key)}, node {node}, component {node}", key)
+    if large is not None:
+        labels = labels.unionByName(_components_by_joins(large, key, None))
+    labels = stage(labels).df
+    release(edges.sparkSession, given)
+    return labels
+
+
+def _components_by_joins(edges: DataFrame, key: Key, nodes: DataFrame | None) -> DataFrame:
+    """Hooking and shortcutting rounds (the FastSV scheme of Zhang, Azad and Hu, 2020): each node
     offers the grandparent labels around it to itself and to its parent and keeps the smallest.
     The rounds grow with the logarithm of the diameter, not with the diameter, and work on edges that
     were contracted in the tasks first.

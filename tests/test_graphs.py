@@ -61,6 +61,23 @@ def test_components(spark):
     assert labels == {k: g.components(e) for k, e in every.items()}
 
 
+def test_components_in_tasks_and_by_joins(spark):
+    """Graphs up to the limit need no rounds; larger ones, and those with nulls, have the same rows as ever."""
+    every = {**g.GRAPHS, 7: g.path(60), 8: [(5, 5), (1, 2), (2, 1), (9, 1)]}
+    df = g.frame(spark, every)
+    nulls = spark.createDataFrame([(90, 1, None), (90, 1, 2), (None, 1, 2), (91, -3, 4)], g.EDGE)
+    whole = {(k, v, c) for k, e in every.items() for v, c in g.components(e).items()}
+    given = df.unionByName(nulls)
+    by_joins = {tuple(r) for r in components.connected_components(given, task_edges=0).collect()}
+    assert whole < by_joins
+    for limit in (20, 1 << 20):
+        got = components.connected_components(given, task_edges=limit)
+        assert {tuple(r) for r in got.collect()} == by_joins and got.count() == len(by_joins)
+    lone = spark.createDataFrame([(7, 1000), (500, 3)], "graph_id long, node long")
+    more = {tuple(r) for r in components.connected_components(df, nodes=lone).collect()}
+    assert more == whole | {(7, 1000, 1000), (500, 3, 3)}
+
+
 def test_contracted_edges_join_the_same_nodes(spark):
     every = {1: g.path(300), 2: g.lattice(9, 9), 3: [(5, 5), (1, 2), (2, 1)]}
     for rows in (7, 1000):
