@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,37 @@ def test_segment_intersections(spark):
     assert got == {(0, 1): (20.0, 20.0), (1, 2): (19.5, 20.5)}
 
 
+def test_segment_intersections_in_tasks_and_by_cells(spark):
+    """Small graphs in the tasks and large ones by cells: the same crossings, with copies, nulls, points and parallels."""
+    rng = random.Random(5)
+    whole = "graph_id long, seg long, x1 long, y1 long, x2 long, y2 long"
+    for schema, draw in ((whole, lambda: rng.randrange(60)), (whole.replace("1 long", "1 double"), lambda: rng.randrange(60) / 2)):
+        rows = [(k, s % 37, *(draw() for _ in range(4))) for k, n in ((1, 40), (2, 5), (3, 15)) for s in range(n)]
+        rows = [r if "double" not in schema else (*r[:4], int(r[4]), int(r[5])) for r in rows]
+        rows += [(3, 50, *rows[-1][2:]), (3, 51, *rows[-1][2:4], int(rows[-1][2]), int(rows[-1][3])), (4, 1, None, *rows[0][3:]), (4, 2, *rows[0][2:])]
+        rows += [(None, 1, *rows[0][2:]), (None, 2, *rows[1][2:]), (4, 3, *rows[1][2:]), (3, None, *rows[2][2:])]
+        segs = spark.createDataFrame(rows, schema)
+        by_cells = sorted(tuple(r) for r in spatial.segment_intersections(segs, task_segs=0).collect())
+        assert len(by_cells) > 100
+        for limit in (16, 1 << 12):
+            assert sorted(tuple(r) for r in spatial.segment_intersections(segs, task_segs=limit).collect()) == by_cells
+
+
+def test_crossings_block_by_block(monkeypatch):
+    """Candidates in blocks of any size give all crossings of a key's segments, and none between keys."""
+    rng = np.random.default_rng(6)
+    table = pa.table({"k": np.repeat([1, 2, 5], [30, 1, 20]), "seg": rng.permutation(51)} | {c: rng.integers(0, 30, 51) for c in ("x1", "y1", "x2", "y2")})
+
+    def found():
+        return sorted((a, b, x, y) for block in spatial._crossings(table, ["k"]) for a, b, x, y in zip(*block))
+
+    whole = found()
+    monkeypatch.setattr(spatial, "CROSS_CELLS", 7)
+    assert found() == whole and len(whole) > 20
+    keys, segs = table.column("k").to_numpy(), table.column("seg").to_numpy()
+    assert all(keys[a] == keys[b] and segs[a] < segs[b] for a, b, _, _ in whole)
+
+
 def test_clip_segment(spark):
     segs = spark.createDataFrame(
         [(0, 50.0, 50.0, 0.0, 200.0), (1, 50.0, 50.0, 90.0, 10.0), (2, 50.0, 50.0, 225.0, 500.0)],
