@@ -164,6 +164,15 @@ def test_sources_shared_by_tasks(spark, edges, monkeypatch):
     assert got.keys() == dense.keys() and all(got[k] == pytest.approx(v, abs=1e-9) for k, v in dense.items())
 
 
+def test_many_graphs_are_not_copied(spark):
+    """Shares are for few large graphs: where there are more graphs than tasks, each edge is dealt once."""
+    many = spark.range(64 * 300).selectExpr("id % 64 AS graph_id", "id AS src", "id + 64 AS dst")
+    small, large = by_size(many, "graph_id", 1 << 20, 20)
+    assert large is None and small.count() == many.count()
+    one, _ = by_size(many.where("graph_id = 0"), "graph_id", 1 << 20, 20)
+    assert one.count() == 300 * 15
+
+
 def test_many_components_make_no_matrix(spark):
     """Three thousand stars in one graph: n x n entries would be 1.8 GB."""
     star = [(1, 10 * c, 10 * c + i) for c in range(3000) for i in range(1, 5)]
